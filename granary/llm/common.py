@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_granary_shipped", False):
+        return
+    from .files import place
+
+    top, held = Path(__file__).parents[2], io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as packed:
+        for path in sorted((top / "granary").rglob("*.py")):
+            packed.write(path, path.relative_to(top).as_posix())
+    folder = scratch(spark, "package")
+    store, inner = place(folder)
+    store.create_dir(inner, recursive=True)
+    with store.open_output_stream(f"{inner}/granary_package.zip") as out:
+        out.write(held.getvalue())
+    context.addPyFile(f"{folder}/granary_package.zip")
+    context._granary_shipped = True
+
+
 def remainder(key: str | Column, of: int) -> Column:
     """crc32 of the key as text, modulo ``of``; a null key counts as empty text."""
     col = F.col(key) if isinstance(key, str) else key
