@@ -1,11 +1,17 @@
-"""Toxicity: two Kneser-Ney models, one of toxic and one of ordinary documents."""
+"""Toxicity: two Kneser-Ney models, one of toxic and one of ordinary documents.
+
+They model the characters of words, so that the inflections of an expression
+share its counts. A word adds the same wherever it stands, and workers remember
+what it adds.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -17,49 +23,59 @@ from .samples import labelled
 
 _WORD = re.compile(r"[^\W_]+")
 #: The bound of the sample: so many labelled documents of each class.
-MOST = 4000
-#: Ids of what a text begins with and of words that the sample has once at most.
-START, RARE = 0, 1
-#: The discounts that are tried.
-DISCOUNTS = (0.75, 2.0, 4.0, 8.0)
+MOST = 2500
+#: The longest n-gram, and the discounts that are tried.
+ORDER = 6
+DISCOUNTS = (0.75, 2.0, 5.0, 12.0)
+#: What a word begins and ends with.
+BEGIN, END = "\x02", "\x03"
+#: Words that a worker remembers.
+KEPT = 400_000
 
 
 @dataclass
 class Model:
-    """What a pair (previous word, word) adds to log p(toxic) - log p(ordinary).
+    """What each character of a word adds to log p(toxic) - log p(ordinary).
 
-    A pair that neither class has seen adds ``context[previous] + word[word]``:
-    there the models back off, and their ratio is one of backoff weights and
-    lower orders. ``pairs`` and ``extra`` have what the others add instead.
+    ``grams`` has the n-grams that either class has seen: the ratio of their
+    last character's probabilities after the others. For any other n-gram both
+    models back off: ``contexts`` has the ratio of the backoff weights, and the
+    n-gram without its first character decides.
     """
 
-    words: dict[str, int]
-    context: np.ndarray
-    word: np.ndarray
-    pairs: np.ndarray
-    extra: np.ndarray
+    grams: dict[str, float]
+    contexts: dict[str, float]
     scale: tuple[float, ...] = (1.0, 0.0, 0.0)
+    seen: dict[str, float] = field(default_factory=dict)
+
+    def word(self, word: str) -> float:
+        grams, contexts, total = self.grams, self.contexts, 0.0
+        framed = BEGIN + word + END
+        for i in range(1, len(framed)):
+            lo = max(0, i - ORDER + 1)
+            while lo <= i:
+                found = grams.get(framed[lo : i + 1])
+                if found is not None:
+                    total += found
+                    break
+                total += contexts.get(framed[lo:i], 0.0)
+                lo += 1
+        return total
 
     def ratios(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's sum of log ratios, and its number of words."""
-        get = self.words.get
-        ids, lengths = [], np.zeros(len(texts), np.int64)
+        sums, lengths = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            found = [get(w, RARE) for w in _WORD.findall(text.lower())]
-            lengths[i] = len(found)
-            ids += [START, *found]
-        flat = np.array(ids, np.int64)
-        firsts = np.cumsum(lengths + 1) - lengths - 1
-        adds = np.zeros(len(flat))
-        if len(flat) > 1:
-            before, now = flat[:-1], flat[1:]
-            adds[1:] = self.context[before] + self.word[now]
-            if len(self.pairs):
-                key = before * len(self.context) + now
-                at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                adds[1:] = np.where(self.pairs[at] == key, self.extra[at], adds[1:])
-        adds[firsts] = 0
-        return (np.add.reduceat(adds, firsts) if len(texts) else np.zeros(0)), lengths
+            if len(self.seen) > KEPT:
+                self.seen.clear()
+            seen, found = self.seen, _WORD.findall(text.lower())
+            adds = list(map(seen.get, found))
+            if None in adds:
+                for w in {w for w, x in zip(found, adds, strict=True) if x is None}:
+                    seen[w] = self.word(w)
+                adds = map(seen.__getitem__, found)
+            sums[i], lengths[i] = sum(adds), len(found)
+        return sums, lengths
 
     @staticmethod
     def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -72,50 +88,68 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def _counted(texts: Sequence[Sequence[int]]) -> Counter:
-    found: Counter = Counter()
-    for ids in texts:
-        found.update(zip([START, *ids], ids, strict=False))
+Counts = list[dict[str, int]]
+
+
+def counted(texts: Sequence[str]) -> Counts:
+    """A class's counts by order: of ORDER-grams how often they occur, of shorter ones after how many characters.
+
+    What a word begins with has nothing before it, so there occurrences count.
+    """
+    words: Counter = Counter()
+    for t in texts:
+        words.update(_WORD.findall(t.lower()))
+    found: Counts = [{} for _ in range(ORDER + 1)]
+    for w, n in words.items():
+        framed = BEGIN + w + END
+        for i in range(2, len(framed) + 1):
+            lo = max(0, i - ORDER)
+            at = found[i - lo]
+            at[framed[lo:i]] = at.get(framed[lo:i], 0) + n
+    for order in range(ORDER, 1, -1):
+        below = found[order - 1]
+        for g in found[order]:
+            if len(g) > 1:
+                below[g[1:]] = below.get(g[1:], 0) + 1
     return found
 
 
-def train(toxic: Sequence[str], ordinary: Sequence[str], discount: float = 0.75) -> Model:
-    """Interpolated Kneser-Ney of order two for each class, over shared backoff counts.
+def train(toxic: Counts, ordinary: Counts, discount: float = 0.75) -> Model:
+    """Interpolated Kneser-Ney of characters within words, for each class, over shared backoff counts.
 
-    A class's lower order takes in how many contexts it has a word, less the
-    discount, and backs off to the number of contexts in either class. Counts up
-    to the discount back off entirely, so that an expression that is rare in a
-    class is as likely in both.
+    The lowest order is one for both classes, from the sum of their counts. Any
+    order above takes its class's counts, less the discount, and backs off with
+    what was taken off; counts up to the discount back off entirely, so that an
+    expression that is rare in a class is as likely in both.
     """
-    cut = [[_WORD.findall(t.lower()) for t in texts] for texts in (toxic, ordinary)]
-    seen = Counter(w for texts in cut for t in texts for w in t)
-    words = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1), 2)}
-    size = len(words) + 2
-    pairs = [_counted([[words.get(w, RARE) for w in t] for t in texts]) for texts in cut]
-
-    def kinds(keys) -> np.ndarray:
-        return np.bincount([w for _, w in keys], minlength=size).astype(float)
-
-    shared = kinds(set(pairs[0]) | set(pairs[1])) + 1.0
-    shared /= shared.sum()
-    lower, backoff, total = [], [], []
-    for found in pairs:
-        k = kinds(found)
-        off = np.minimum(k, discount)
-        lower.append((k - off + off.sum() * shared) / k.sum() if k.sum() else shared)
-        h, c = np.array([x for x, _ in found], np.int64), np.array([*found.values()], float)
-        n = np.bincount(h, c, minlength=size)
-        total.append(n)
-        backoff.append(np.where(n > 0, np.bincount(h, np.minimum(c, discount), minlength=size) / np.maximum(n, 1), 1.0))
-    context, word = np.log(backoff[0]) - np.log(backoff[1]), np.log(lower[0]) - np.log(lower[1])
-    # Pairs up to the discount in both classes back off in both.
-    both = sorted(x for x in set(pairs[0]) | set(pairs[1]) if max(pairs[0][x], pairs[1][x]) > discount)
-    h, w = np.array([x[0] for x in both], np.int64), np.array([x[1] for x in both], np.int64)
-    logs = []
-    for found, n, back, low in zip(pairs, total, backoff, lower, strict=True):
-        count = np.array([found[x] for x in both], float)
-        logs.append(np.log(np.maximum(count - discount, 0) / np.maximum(n[h], 1) + back[h] * low[w]) if both else np.zeros(0))
-    return Model(words, context, word, h * size + w, logs[0] - logs[1])
+    singles = Counter(toxic[1])
+    singles.update(ordinary[1])
+    total = sum(singles.values()) + len(singles) + 1
+    odds = {g: ((n + 1) / total,) * 2 for g, n in singles.items()}
+    unseen = (1 / total,) * 2
+    grams, contexts = dict.fromkeys(odds, 0.0), {}
+    for order in range(2, ORDER + 1):
+        sums: list[dict[str, float]] = [{}, {}]
+        backs: list[dict[str, float]] = [{}, {}]
+        for side, counts in enumerate((toxic[order], ordinary[order])):
+            total_of, back_of = sums[side], backs[side]
+            for g, n in counts.items():
+                h = g[:-1]
+                total_of[h] = total_of.get(h, 0) + n
+                back_of[h] = back_of.get(h, 0) + min(n, discount)
+        now = {}
+        for g in toxic[order].keys() | ordinary[order].keys():
+            h, p = g[:-1], list(odds.get(g[1:], unseen))
+            for side, counts in enumerate((toxic[order], ordinary[order])):
+                if h in sums[side]:
+                    p[side] = (max(counts.get(g, 0) - discount, 0) + backs[side][h] * p[side]) / sums[side][h]
+            now[g] = (p[0], p[1])
+            grams[g] = math.log(p[0]) - math.log(p[1])
+        for h in sums[0].keys() | sums[1].keys():
+            a, b = (backs[side][h] / sums[side][h] if h in sums[side] else 1.0 for side in (0, 1))
+            contexts[h] = math.log(a) - math.log(b)
+        odds |= now
+    return Model(grams, contexts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -146,13 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
     weight = np.where(y == 1, counts[1] / len(held[0]), counts[0] / len(held[1]))
     found = []
+    sides = [counted([t for i, t in enumerate(s) if i % 5 or len(s) < 5]) for s in sides]
     for discount in DISCOUNTS:
-        model = train(*[[t for i, t in enumerate(s) if i % 5 or len(s) < 5] for s in sides], discount)
+        model = train(*sides, discount)
         x = model.features(*model.ratios(held[0] + held[1]))
         model.scale = _logistic(x, y, weight / weight.mean())
         p = np.clip(1 / (1 + np.exp(-(x @ np.array(model.scale[:2]) + model.scale[2]))), 1e-9, 1 - 1e-9)
         found.append((float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), discount, model))
-    return min(found, key=lambda f: f[:2])[2]
+    best = min(found, key=lambda f: f[:2])[2]
+    best.seen.clear()
+    return best
 
 
 def _scoring(model, carried: int):
