@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 #: ASCII letters, for lower-casing these and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The same as a table for ``str.translate``.
-ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

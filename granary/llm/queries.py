@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, media, mixing, pii, quality, similarity, token_files, toxicity
+from . import decontamination, language, media, mixing, pii, quality, scoring, similarity, token_files, toxicity
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.joined(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
+    "op8_scoring": op8_scoring,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_media": op10_media,
 }

@@ -25,7 +25,6 @@ Sets are compared by the Jaccard measure. The steps:
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, SPACED_WORDS, ship, stored
+from .common import ship, stored
 from .components import components
 
-_WORD = re.compile(SPACED_WORDS)
 #: Words that a worker remembers.
 KEPT = 600_000
 #: Tokens in a stretch, documents of it from which a token may be frequent, and of all.
@@ -49,7 +47,7 @@ MOST_BROADCAST = 1_000_000
 #: Documents of a key that are compared with each other in one group.
 BLOCK = 400
 
-_words: dict[str, int] = {}
+_words: dict[bytes, int] = {}
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,7 +62,8 @@ def shingles(text: str, n: int) -> np.ndarray:
 
     Fewer than n words are one n-gram; without words there is none.
     """
-    found = _WORD.findall(text.translate(ASCII_LOWER))
+    # Bytes have ASCII letters lowered, and are cut at ASCII white space, alone.
+    found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
     if len(_words) > KEPT:
@@ -73,7 +72,7 @@ def shingles(text: str, n: int) -> np.ndarray:
     if None in ids:
         for w in set(found):
             if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                _words[w] = xxhash.xxh64_intdigest(w)
         ids = list(map(_words.__getitem__, found))
     h = np.array(ids, np.uint64)
     k = min(n, len(h))
