@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remainder, ship, stored
+from .samples import smallest
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: The bounds of the sample and of the tables: documents, words and n-grams of each language.
@@ -89,8 +90,8 @@ def fit(docs: DataFrame, most: int = MOST, fold: tuple[int, int] = (4, 2)) -> Mo
     languages alone.
     """
     rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (remainder("doc_id", fold[0]) != fold[1]))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = stored(rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).select("doc_id", F.col("lang").alias("learned")).distinct(), "languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    picked = stored(smallest(rows, "lang", sizes, most).select("doc_id", F.col("lang").alias("learned")).distinct(), "languages")
     words = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").where(F.col("lang") == F.col("learned"))
     words = words.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = words.groupBy("lang", "word").count()

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .common import remainder, stored
 
 
+def smallest(rows: DataFrame, group: str, counts: dict, most: int, seed: int = 0) -> DataFrame:
+    """The ``most`` rows of each group with the smallest hashes of doc_id.
+
+    A first cut by the hash's value, from the groups' counts, leaves about twice
+    as many, so that few rows are ranked however large a group is.
+    """
+    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    cuts = [F.when(F.col(group) == F.lit(g), F.lit(min(1.0, (2 * most + 200) / n))) for g, n in counts.items()]
+    cut = F.coalesce(*cuts, F.lit(1.0))
+    first = Window.partitionBy(group).orderBy("__h", "doc_id")
+    rows = rows.withColumn("__h", h).where((F.col("__h") / F.lit(2.0**64) + 0.5) <= cut)
+    return rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n", "__h")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int], seed: int = 0) -> tuple[list[tuple[str, object]], dict[object, int]]:
     """(text, label) of at most ``most`` documents of each label, and all labels' counts.
 
@@ -21,9 +35,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: tu
     """
     rows = labels.select(F.col("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", fold[0]) != fold[1]))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id")
-    picked = stored(rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n"), "sample")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    picked = stored(smallest(rows, "label", counts, most, seed), "sample")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     found = sorted(((r["doc_id"], r["text"], r["label"]) for r in texts.select("doc_id", "text", "label").collect()), key=lambda r: (r[0], r[1]))
     return [(t, y) for _, t, y in found], counts
