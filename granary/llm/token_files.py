@@ -10,12 +10,15 @@ document's frame, and nothing else.
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -33,17 +36,27 @@ HAS_CHECKSUMS = 0x80
 INDEX_MAGIC = 0x184D2A50
 #: Plain bytes in a frame, and in a file, from which a new one begins.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 26
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 23
 #: Pieces of text whose ids a worker remembers, and their greatest length.
 MOST_PIECES, LONGEST_PIECE = 400_000, 64
+#: Marks that are cut from the end of a piece; not the apostrophe, with which words may begin.
+MARKS = ".,;:!?#$%&*|()[]"
+
+
+def _visible() -> list[str]:
+    """The characters by which byte-level vocabularies write bytes: visible ones are themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 class Encoder:
     """Texts to packed ids, through a tokenizers file.
 
     Texts are cut at blanks, tabs and line feeds, and each distinct piece is
-    encoded once. That is sound only for tokenizers that drop white space before
-    words are cut, as ``drops_space`` tells from the file; others get whole
-    texts. A worker keeps its encoders and their pieces from task to task.
+    encoded once. That is sound only for tokenizers that drop white space where
+    words are cut, which the file tells; others get whole texts. A worker keeps its encoders and their pieces from task to task.
     """
 
     _kept: dict[tuple[str, int], Encoder] = {}
@@ -54,41 +67,108 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.end = b"" if end is None else np.array([end], self.width).tobytes()
-        self.drops_space = self._drops_space(path)
+        self.drops_space, self.plain = self._traits(path)
+        self.code = "H" if self.width == "<u2" else "I"
+        self.visible = {b: c for b, c in zip(range(256), _visible(), strict=True)}
         self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def kept(cls, path: str, end: int | None) -> Encoder:
         return cls._kept.get((path, end)) or cls._kept.setdefault((path, end), cls(path, end))
 
     @staticmethod
-    def _drops_space(path: str) -> bool:
+    def _traits(path: str) -> tuple[bool, bool]:
+        """Whether white space is dropped; and whether words of letters may go to the model as they are.
+
+        They may where runs of letters and of marks are words of their own, case
+        is lost, and words reach the model byte by byte.
+        """
         import json
 
         with open(path) as f:
-            cut = json.load(f).get("pre_tokenizer") or {}
-        first = (cut.get("pretokenizers") or [cut])[0]
-        return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in first["pattern"].get("Regex", "")
+            read = json.load(f)
+        cut, normal = read.get("pre_tokenizer") or {}, read.get("normalizer") or {}
+        steps = cut.get("pretokenizers") or [cut]
+        words = str((steps[0].get("pattern") or {}).get("Regex", ""))
+        drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and "[^\\s" in words
+        marks = words.endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        kinds = [x.get("type") for x in normal.get("normalizers") or [normal]]
+        bytewise = [x.get("type") for x in steps[1:]] == ["ByteLevel"] and not steps[1].get("add_prefix_space")
+        return drops, drops and marks and bytewise and kinds == ["NFC", "Replace", "Lowercase"] and sys.byteorder == "little"
+
+    def _word(self, letters: str) -> bytes:
+        """The ids of a word of letters below 0x250, which no normalisation but that of case changes."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.visible)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers pieces: letters and the marks behind them apart, if these are words of their own."""
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+        if len(self.parts) > MOST_PIECES:
+            self.parts.clear()
+        parts, cut, rest = self.parts, [], []
+        parts[""] = b""
+        for piece in pieces:
+            low = piece.rstrip(MARKS).lower() if self.plain else ""
+            marks = piece[len(low) :]
+            if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+                if low not in parts:
+                    parts[low] = self._word(low)
+            else:
+                low, marks = "", piece
+            if marks not in parts:
+                rest.append(marks)
+            cut.append((piece, low, marks))
+        if rest:
+            rest = list(set(rest))
+            parts.update(zip(rest, self._encode(rest), strict=True))
+        self.pieces.update((p, parts[a] + parts[b]) for p, a, b in cut)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The packed ids of each text, with the end's.
+
+        Arrow cuts the texts and numbers the distinct pieces; Python sees each of
+        these once, and numpy puts their ids in the texts' order.
+        """
         if not self.drops_space:
-            return [x + self.end for x in self._encode(texts)]
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        known = self.pieces
-        new = list({p for parts in cut for p in parts if p not in known and len(p) <= LONGEST_PIECE})
-        known.update(zip(new, self._encode(new), strict=True))
-        out = []
-        for parts in cut:
-            found = list(map(known.get, parts))
-            if None in found:
-                found = [self._encode([p])[0] if x is None else x for p, x in zip(parts, found, strict=True)]
-            out.append(b"".join(found) + self.end)
-        return out
+            return [x + self.end for x in self._encode(texts.to_pylist())]
+        for blank in ("\n", "\t"):
+            texts = pc.replace_substring(texts, blank, " ")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            new = [p for p, x in zip(pieces, found, strict=True) if x is None]
+            self._learn([p for p in new if len(p) <= LONGEST_PIECE])
+            found = [x if x is not None else self.pieces.get(p) if len(p) <= LONGEST_PIECE else self._encode([p])[0] for p, x in zip(pieces, found, strict=True)]
+            found = [x if x is not None else self._encode([p])[0] for p, x in zip(pieces, found, strict=True)]
+        size = np.dtype(self.width).itemsize
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // size
+        starts = np.cumsum(lengths) - lengths
+        long = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        at = np.repeat(starts[codes] - ends[:-1], long) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), self.width)[at].tobytes()
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        cuts = (ends[offsets] * size).tolist()
+        return [ids[a:b] + self.end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes in a column, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 class Writer:
@@ -189,9 +269,8 @@ def _writing(folder: str, tokenizer: str, end: int | None) -> Callable[[Iterator
         part, files, writer = TaskContext.get().partitionId(), [], None
         encode = Encoder.kept(tokenizer, end)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+            for some in by_bytes(batch, 1, TEXT_BYTES):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(pc.fill_null(some.column(1), "")), strict=True):
                     writer = writer or Writer(folder, f"part-{part:06d}-{len(files):04d}", encode.width)
                     writer.add(doc_id, ids)
                     if writer.bytes >= FILE_BYTES:
