@@ -69,6 +69,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of keys may be broadcast: some tens of MB.
+MOST_KEYS = 1_000_000
+
+
+def keys(df: DataFrame, name: str, most: int = MOST_KEYS) -> DataFrame:
+    """A table of keys, to be broadcast if counting shows that it is small, and joined by a shuffle if not."""
+    df = stored(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once a context."""
     context = spark.sparkContext

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, keys, stored
 
 #: Words: runs of ASCII letters and digits and of whatever lies beyond ASCII.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,10 +56,10 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, most_in_set: int = MOST
     """
     spark = docs.sparkSession
     tests = stored(windows(items, n), "tests")
-    keys = tests.select("n", "hash").distinct()
-    first = keys.limit(most_in_set + 1).collect()
+    distinct = tests.select("n", "hash").distinct()
+    first = distinct.limit(most_in_set + 1).collect()
     in_set = len(first) <= most_in_set
-    lengths = sorted({r["n"] for r in first}) if in_set else sorted(r["n"] for r in keys.select("n").distinct().collect())
+    lengths = sorted({r["n"] for r in first}) if in_set else sorted(r["n"] for r in distinct.select("n").distinct().collect())
 
     read = docs.select(F.col("doc_id"), *[F.col(f"`{c}`") for c in carry], F.monotonically_increasing_id().alias("__row"), _words(F.col("text")).alias("__words"))
     read = read.withColumn("__low", F.transform("__words", F.lower))
@@ -108,7 +108,7 @@ def without_documents(docs: DataFrame, items: DataFrame, n: int = 10, **options)
     Rows with a contaminated doc_id go; rows with a null doc_id are judged
     together. Which ids these are is a table of hits only.
     """
-    bad = hits(docs, items, n, **options).where(F.size("words_hit") > 0).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = keys(hits(docs, items, n, **options).where(F.size("words_hit") > 0).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
 
 

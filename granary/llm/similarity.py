@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import keys, ship, stored
 from .components import components
 
 #: Words that a worker remembers.
@@ -42,8 +42,6 @@ KEPT = 600_000
 STRETCH, OFTEN_HERE, OFTEN = 2_000_000, 4, 32
 #: So many tokens may be told to all tasks as frequent: 8 bytes each.
 MOST_FREQUENT = 200_000
-#: So many ids of documents to be verified may be broadcast.
-MOST_BROADCAST = 1_000_000
 #: Documents of a key that are compared with each other in one group.
 BLOCK = 400
 
@@ -238,9 +236,7 @@ def _linked(percent: int):
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose whole sets link; sets are made of these documents only."""
     pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    small = ids.count() <= MOST_BROADCAST
-    few = _texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    few = _texts(docs).join(keys(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi")
     sets = stored(few.mapInArrow(_sets(n), "rep long, tokens binary"), "sets")
     one, two = (sets.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
     return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_linked(percent), "a long, b long"), "links")
@@ -255,9 +251,11 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Cases: null and empty texts, and those of white space, have no set, link with
     nothing and are components of their own. A text of fewer than n words is one
     n-gram. Rows with a null doc_id take no part: their component is null. Rows
-    that share a doc_id are one document in as far as links go, with the texts of
-    all. An empty table gives an empty result. Only doc_id and text are read.
+    that repeat a doc_id and its text are one document; what several texts under
+    one doc_id link with is not defined. An empty table gives an empty result. Only doc_id and text are read.
     """
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100: below, neighbours in the order may share no pair")
     spark = docs.sparkSession
     ship(spark)
     counted = _texts(docs).select("text").mapInArrow(_frequent(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
@@ -298,8 +296,16 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest, in all their columns.
 
-    Of rows that share such a doc_id one stays. Rows with a null doc_id stay.
+    Of rows that share such a doc_id the one with the smallest text stays. Rows
+    with a null doc_id stay.
     """
-    gone = joined(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    found = stored(joined(docs, n, percent), "components")
+    gone = keys(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    return kept
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    twice = stored(twice, "twice")
+    if twice.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+    some = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").union(some)
