@@ -177,7 +177,9 @@ def _within(percent: int):
 
     def compare(rows: list[dict]) -> list[tuple[int, int]]:
         one, two = rows[0]["one"], rows[0]["two"]
+        key = rows[0]["key"]
         rows = sorted(rows, key=lambda r: (r["n"], r["rep"]))
+        lower = [frozenset(k for k in r["mine"] if k < key) for r in rows]
         maps = [np.frombuffer(r["bits"], np.uint8) for r in rows]
         out = []
         for i, r in enumerate(rows):
@@ -185,7 +187,8 @@ def _within(percent: int):
                 s = rows[j]
                 if 100 * r["n"] < percent * s["n"]:
                     break
-                if r["component"] == s["component"] or (one != two and r["block"] == s["block"]):
+                # Of the keys that two documents share, the smallest compares them.
+                if r["component"] == s["component"] or (one != two and r["block"] == s["block"]) or not lower[i].isdisjoint(lower[j]):
                     continue
                 o = most_shared(maps[i], r["n"], maps[j], s["n"])
                 if 100 * o >= percent * (r["n"] + s["n"] - o):
@@ -281,9 +284,11 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = components(links)
     open_rows = index.where("rows > 2").join(groups, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     mixed = open_rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_rows = open_rows.join(mixed, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    open_rows = stored(open_rows.join(mixed, "key"), "open")
+    about = open_rows.groupBy("rep").agg(F.collect_list("key").alias("mine")).join(maps, "rep")
+    open_rows = open_rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    open_rows = open_rows.select("key", "rep", "n", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(maps.select("rep", "n", "bits"), ["rep", "n"])
+    open_rows = open_rows.select("key", "rep", "n", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(about, ["rep", "n"])
     between = open_rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_within(percent), "a long, b long")
     links = links.union(_verified(docs, between.distinct(), n, percent))
 
