@@ -52,11 +52,6 @@ def _remove(path: str) -> None:
         pass
 
 
-def release(path: str) -> None:
-    """Removes a path made by ``scratch`` that nothing will read again."""
-    _remove(path)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again.
 
@@ -66,7 +61,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` made, once what was worked out from them is stored itself."""
+    for df in tables:
+        _remove(df._granary_path)
 
 
 #: So many rows of keys may be broadcast: some tens of MB.

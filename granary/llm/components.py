@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import release, ship, stored
 
 
 def _forest(batches):
@@ -47,7 +47,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         toward = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lower = toward.groupBy("a").agg(F.min("b").alias("m"))
-        now = stored(toward.join(lower, "a").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct(), "links")
+        last, now = now, stored(toward.join(lower, "a").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct(), "links")
+        release(last)
         tally = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (tally["n"], tally["h"]) == before:
             break

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keys, ship, stored
+from .common import keys, release, ship, stored
 from .components import components
 
 #: Words that a worker remembers.
@@ -242,7 +242,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     few = _texts(docs).join(keys(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi")
     sets = stored(few.mapInArrow(_sets(n), "rep long, tokens binary"), "sets")
     one, two = (sets.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_linked(percent), "a long, b long"), "links")
+    links = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_linked(percent), "a long, b long"), "links")
+    release(pairs, sets)
+    return links
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -284,7 +286,7 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = components(links)
     open_rows = index.where("rows > 2").join(groups, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     mixed = open_rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_rows = stored(open_rows.join(mixed, "key"), "open")
+    open_rows = before_blocks = stored(open_rows.join(mixed, "key"), "open")
     about = open_rows.groupBy("rep").agg(F.collect_list("key").alias("mine")).join(maps, "rep")
     open_rows = open_rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -293,9 +295,12 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = links.union(_verified(docs, between.distinct(), n, percent))
 
     groups = components(links)
+    release(index, single, before_blocks)
     found = all_rows.select("doc_id", "n", "same").join(reps, "same", "left").join(groups, F.col("rep") == F.col("node"), "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out._granary_uses = (all_rows, reps)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -304,7 +309,9 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that share such a doc_id the one with the smallest text stays. Rows
     with a null doc_id stay.
     """
-    found = stored(joined(docs, n, percent), "components")
+    lazy = joined(docs, n, percent)
+    found = stored(lazy, "components")
+    release(*lazy._granary_uses)
     gone = keys(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
