@@ -179,7 +179,13 @@ def _within(percent: int):
         one, two = rows[0]["one"], rows[0]["two"]
         key = rows[0]["key"]
         rows = sorted(rows, key=lambda r: (r["n"], r["rep"]))
-        lower = [frozenset(k for k in r["mine"] if k < key) for r in rows]
+        lower: dict[int, frozenset] = {}
+
+        def below(i: int) -> frozenset:
+            if i not in lower:
+                lower[i] = frozenset(k for k in rows[i]["mine"] if k < key)
+            return lower[i]
+
         maps = [np.frombuffer(r["bits"], np.uint8) for r in rows]
         out = []
         for i, r in enumerate(rows):
@@ -187,11 +193,11 @@ def _within(percent: int):
                 s = rows[j]
                 if 100 * r["n"] < percent * s["n"]:
                     break
-                # Of the keys that two documents share, the smallest compares them.
-                if r["component"] == s["component"] or (one != two and r["block"] == s["block"]) or not lower[i].isdisjoint(lower[j]):
+                if r["component"] == s["component"] or (one != two and r["block"] == s["block"]):
                     continue
                 o = most_shared(maps[i], r["n"], maps[j], s["n"])
-                if 100 * o >= percent * (r["n"] + s["n"] - o):
+                # Of the keys that two documents share, the smallest tells of them.
+                if 100 * o >= percent * (r["n"] + s["n"] - o) and below(i).isdisjoint(below(j)):
                     out.append((min(r["rep"], s["rep"]), max(r["rep"], s["rep"])))
         return out
 
