@@ -285,6 +285,20 @@ def test_scores(spark, odd, nothing):
     assert set(scoring.scored(only_held).select("base_score", "n_known").distinct().toPandas().itertuples(index=False, name=None)) == {(0.0, 0)}
 
 
+def test_classes_are_of_all_documents(spark, monkeypatch):
+    """A start from a few documents, unlike the others in their kinds, leaves no mark on the classes' shares."""
+    r = np.random.default_rng(11)
+    order = [x[0] for x in spark.range(300).orderBy(F.xxhash64("id"), "id").collect()]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(300)]
+    first = [i for i in order if not held[i]][:16]
+    kind = {i: "abcd"[first.index(i) % 4] if i in first else "a" if r.random() < 0.9 else "bcd"[i % 3] for i in order}
+    rows = [(i, f"{kind[i]}0" if held[i] else " ".join(f"{kind[i]}{j}" for j in r.integers(0, 20, 60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = scoring.scored(docs).where("held_out").agg(F.avg("score")).first()[0]
+    monkeypatch.setattr(scoring, "MOST_DOCS", 16)
+    assert abs(scoring.scored(docs).where("held_out").agg(F.avg("score")).first()[0] - whole) < 0.03
+
+
 # 9
 
 
