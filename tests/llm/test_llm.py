@@ -299,6 +299,12 @@ def test_classes_are_of_all_documents(spark, monkeypatch):
     assert abs(scoring.scored(docs).where("held_out").agg(F.avg("score")).first()[0] - whole) < 0.03
 
 
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    one, many = (scoring.scored(d).toPandas().set_index("doc_id").score.sort_index() for d in (docs.coalesce(1), docs.repartition(6)))
+    assert np.allclose(one, many, rtol=1e-5)
+
+
 # 9
 
 
