@@ -105,11 +105,13 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10, **options) -> DataFra
 def without_documents(docs: DataFrame, items: DataFrame, n: int = 10, **options) -> DataFrame:
     """The rows of ``docs`` that hold no window, in all their columns.
 
-    Rows with a contaminated doc_id go; rows with a null doc_id are judged
-    together. Which ids these are is a table of hits only.
+    Each row is judged by its own text, whatever its doc_id; rows of one text
+    are judged alike. Which texts go is a table of hits only, by their SHA-256.
     """
-    bad = keys(hits(docs, items, n, **options).where(F.size("words_hit") > 0).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    same = F.sha2(F.col("text").cast("binary"), 256)
+    found = hits(docs.select("doc_id", "text", same.alias("__same")), items, n, carry=("__same",), **options)
+    bad = keys(found.where(F.size("words_hit") > 0).select(F.col("__same").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, same == F.col("__bad"), "left_anti")
 
 
 def without_spans(docs: DataFrame, items: DataFrame, n: int = 10, **options) -> DataFrame:

@@ -428,3 +428,12 @@ def test_damaged_members_are_told(spark, odd, tmp_path):
     path.write_bytes(data)
     found = media.read_archives(spark, str(folder), onError="keep").collect()
     assert len(found) == odd.count() and sum(r["media"] is None and "damaged" in r["error"] for r in found) == 1
+
+
+def test_documents_go_by_their_own_text(spark):
+    """A clean row stays, though a contaminated one shares its doc_id or has none either."""
+    rows = [(None, f"so {PASSAGE} on"), (None, "clean without an id"), (7, PASSAGE), (7, "clean under the same id"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    kept = decontamination.without_documents(docs, items).collect()
+    assert sorted((r["text"] or "") for r in kept) == ["", "clean under the same id", "clean without an id"]
