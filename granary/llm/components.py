@@ -37,6 +37,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     hangs its larger neighbours on the smallest node beside it and its smaller
     ones too, until nothing changes: the number of rounds grows with the
     logarithm of the longest path. Each round is written to the shared folder.
+    If ``rounds`` run out before that, it raises.
     """
     ship(links.sparkSession)
     now = stored(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forest, "a long, b long"), "links")
@@ -53,4 +54,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if (tally["n"], tally["h"]) == before:
             break
         before = tally["n"], tally["h"]
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), F.col("m").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -437,3 +437,10 @@ def test_documents_go_by_their_own_text(spark):
     items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     kept = decontamination.without_documents(docs, items).collect()
     assert sorted((r["text"] or "") for r in kept) == ["", "clean under the same id", "clean without an id"]
+
+
+def test_components_do_not_stop_early(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(4)
+    with pytest.raises(RuntimeError):
+        components.components(links, rounds=1)
+    assert {r["component"] for r in components.components(links).collect()} == {0}
