@@ -52,15 +52,24 @@ def _remove(path: str) -> None:
         pass
 
 
+#: Has a query's shuffle files removed when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again.
 
     The lineage ends there: a lost executor costs no more than the tasks that
-    it ran, and what follows is computed once.
+    it ran, and what follows is computed once. The shuffle files go at once.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
     return out
@@ -72,14 +81,16 @@ def release(*tables: DataFrame) -> None:
         _remove(df._granary_path)
 
 
-#: So many rows of keys may be broadcast: some tens of MB.
-MOST_KEYS = 1_000_000
+#: So many bytes of keys may be broadcast.
+MOST_KEYS = 24 << 20
 
 
 def keys(df: DataFrame, name: str, most: int = MOST_KEYS) -> DataFrame:
-    """A table of keys, to be broadcast if counting shows that it is small, and joined by a shuffle if not."""
+    """A table of keys, to be broadcast if its bytes, added up, are few, and joined by a shuffle if not."""
     df = stored(df, name)
-    return F.broadcast(df) if df.count() <= most else df
+    each = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes]
+    size = df.agg(F.sum(sum(each, F.lit(8)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from .common import release, ship, stored
 
 
+#: Nodes that a task holds at once.
+MOST_NODES = 500_000
+
+
 def _forest(batches):
-    """A partition's links as links to each local component's smallest node."""
+    """A partition's links, MOST_NODES nodes at a time, as links to each local component's smallest node."""
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -19,15 +23,19 @@ def _forest(batches):
             x = above[x]
         return x
 
+    def told():
+        nodes = [x for x in above if root(x) != x]
+        return pa.record_batch({"a": pa.array([root(x) for x in nodes], pa.int64()), "b": pa.array(nodes, pa.int64())})
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 above[max(a, b)] = min(a, b)
-    nodes = [x for x in above if root(x) != x]
-    for lo in range(0, len(nodes), 100_000):
-        some = nodes[lo : lo + 100_000]
-        yield pa.record_batch({"a": pa.array([root(x) for x in some], pa.int64()), "b": pa.array(some, pa.int64())})
+        if len(above) > MOST_NODES:
+            yield told()
+            above.clear()
+    yield told()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

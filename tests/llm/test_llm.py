@@ -363,6 +363,32 @@ def test_join_cases(odd, nothing):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 1, 2, 3, 4, 5, 8, 9] and kept.where("doc_id is null").count() == 2
 
 
+def test_several_texts_under_one_id(spark):
+    """Rows are judged by their texts, whatever their ids; ids may be text."""
+    other = " ".join(f"other{i}" for i in range(30))
+    rows = [("b", PASSAGE), ("b", other), ("a", PASSAGE), ("a", PASSAGE), (None, other), (None, "alone"), (None, "alone"), ("c", "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id string, text string, __key int")
+    found = {(r["doc_id"], r["component_id"]) for r in similarity.joined(docs).collect()}
+    assert found == {("b", "a"), ("b", "b"), ("a", "a"), (None, "b"), (None, None), ("c", "c")}
+    kept = sorted(((r["doc_id"] or "", r["text"]) for r in similarity.one_of_each(docs.withColumnRenamed("__key", "more")).collect()))
+    assert kept == sorted([("a", PASSAGE), ("b", other), ("", "alone"), ("c", "")])
+
+
+def test_a_hot_key_is_compared_in_blocks(spark, monkeypatch):
+    """One passage in all texts, and copies of each text: every link is found, whatever the blocks."""
+    r = random.Random(9)
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = []
+    for k in range(60):
+        own = [f"x{k}_{i}" for i in range(6)]
+        for _ in range(r.randint(1, 3)):
+            own[r.randrange(6)] = f"y{r.randrange(9)}"
+            docs.append((len(docs), f"{passage} {' '.join(own)}"))
+    found = similarity.joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 80).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == plain_components(docs, 3, 80)
+
+
 def test_bitmaps_bound_overlaps():
     r = np.random.default_rng(3)
     for _ in range(50):
