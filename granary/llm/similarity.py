@@ -16,8 +16,8 @@ Sets are compared by the Jaccard measure. The steps:
    ``2 * most difference + 2`` frequent tokens, of which pairs of neighbours are
    indexed. Two such lists have a pair in common: they share more tokens than
    they have others, so somewhere no other token stands between two shared.
-4. A key's documents are first compared with one of them. What links becomes a
-   component. Only documents of one key that are still in different components
+4. A key's documents are first compared with one of them, and with another
+   while that finds many links. What links becomes a component. Only documents of one key that are still in different components
    are then compared with each other, in blocks.
 5. A bitmap of each set gives an upper bound of an overlap; what stays is
    verified with the whole sets.
@@ -34,14 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keys, release, ship, stored
+from .common import give_back, keys, release, ship, stored
 from .components import components
 from .shingles import mixed, sets
 
 #: Tokens in a stretch, documents of it from which a token may be frequent, and of all.
 STRETCH, OFTEN_HERE, OFTEN = 2_000_000, 4, 32
 #: Documents of a key that are compared with each other in one group.
-BLOCK = 2000
+BLOCK = 1000
+#: So many documents of a key, one after the other, are compared with all others at first.
+TURNS = 5
+#: A document with more open keys than these brings no list of them: it may be told of under several.
+MOST_LISTED = 512
 #: Texts that are shingled at once.
 TEXTS = 256
 #: Bits for each member of a filter, and the bits of the largest: 64 MB. A full filter costs time, never results.
@@ -127,6 +131,8 @@ def _frequent(n: int):
                     held, size = [], 0
         if size:
             yield told()
+        held.clear()
+        give_back()
 
     return count
 
@@ -232,6 +238,41 @@ class _Bitmaps:
         return rows
 
 
+class _Before:
+    """Which rows' documents share a key that comes before the rows' own: single tokens first, in order, then pairs.
+
+    The first key that two documents share tells of them, where places bound the
+    overlap: what they share is not before it.
+    """
+
+    def __init__(self, lists: pa.ListArray, own: np.ndarray, pairs: np.ndarray):
+        at = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.slice(at[0], at[-1] - at[0])
+        key, pair = values.field("key").to_numpy(zero_copy_only=False).view(np.uint64), values.field("pair").to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(own)), np.diff(at))
+        less = (pair < pairs[row]) | ((pair == pairs[row]) & (key < own[row]))
+        self.key, row = mixed(key[less] + pair[less]), row[less]
+        self.first = np.searchsorted(row, np.arange(len(own) + 1))
+        self.all = np.sort(self._of(self.key, row))
+
+    @staticmethod
+    def _of(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return mixed(key ^ (row.astype(np.uint64) * _M1))
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        long = self.first[i + 1] - self.first[i]
+        step = max(1, (1 << 20) // max(1, int(long.max(initial=0))))
+        for lo in range(0, len(i) if len(self.all) else 0, step):
+            a, b, n = i[lo : lo + step], j[lo : lo + step], long[lo : lo + step]
+            pair = np.repeat(np.arange(len(a)), n)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + self.first[a][pair]
+            code = self._of(self.key[place], b[pair])
+            hit = self.all[np.minimum(np.searchsorted(self.all, code), len(self.all) - 1)] == code
+            out[lo : lo + step] = np.bincount(pair[hit], minlength=len(a)) > 0
+        return out
+
+
 def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     at = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -244,7 +285,7 @@ def _within(percent: int):
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
         c = {name: rows.column(name).to_numpy(zero_copy_only=False) for name in ("key", "one", "two", "block", "component", "node", "place", "leads")}
         n = rows.column("n").to_numpy().astype(np.int64)
-        maps = _Bitmaps(rows.column("bits"))
+        maps, before = _Bitmaps(rows.column("bits")), _Before(rows.column("mine"), c["key"].view(np.uint64), c["place"] < 0)
         new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["one"][1:] != c["one"][:-1]) | (c["two"][1:] != c["two"][:-1])]
         heads = np.flatnonzero(new)
         end = np.r_[heads[1:], len(n)][np.cumsum(new) - 1]
@@ -261,6 +302,8 @@ def _within(percent: int):
             a, b = a[fits], b[fits]
             shared = (n[a] + n[b] - maps.differences(a, b)) // 2
             fits = 100 * shared >= percent * (n[a] + n[b] - shared)
+            a, b = a[fits], b[fits]
+            fits = ~before.shared(a, b)
             found.append(np.stack([c["node"][a[fits]], c["node"][b[fits]]], axis=1))
         pairs = np.concatenate([*found, np.empty((0, 2), np.int64)])
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
@@ -283,6 +326,8 @@ def _within(percent: int):
             held.append(batch.slice(cut))
         if held:
             yield compare(_joined(held))
+        held.clear()
+        give_back()
 
     return pairs
 
@@ -352,18 +397,28 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
 
     maps = single.select("node", "n", "bits")
     map_a, map_b = (maps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    first = index.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("f"))
-    stars = index.join(first, "key").where("node <> f.node").where(_fits(percent, "n", "place", "f.n", "f.place")).select(F.col("f.node").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(map_b, "b").join(map_a, "a").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible(percent), "a long, b long")
-    links = _verified(texts, reps, stars, n, percent)
+    placed, links, total = index.withColumn("component", F.col("node")), None, 0
+    for turn in range(TURNS):
+        first = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "place", "component"), F.xxhash64("node", F.lit(turn))).alias("f"))
+        stars = placed.join(first, "key").where("component <> f.component").where(_fits(percent, "n", "place", "f.n", "f.place"))
+        stars = stars.select(F.least("f.node", "node").alias("a"), F.greatest("f.node", "node").alias("b")).distinct()
+        stars = stars.join(map_b, "b").join(map_a, "a").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible(percent), "a long, b long")
+        new = _verified(texts, reps, stars, n, percent)
+        links, fresh = new if links is None else links.union(new), new.count()
+        total += fresh
+        groups = components(links)
+        placed = index.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if 50 * fresh <= total:
+            break
 
-    groups = components(links)
-    placed = index.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"), F.bool_or("leads").alias("led")).where("low <> high AND led AND rows > 2").select("key", "rows")
     before = stored(placed.join(still, "key"), "open")
+    mine = before.groupBy("node").agg(F.collect_list(F.struct("key", (F.col("place") < 0).alias("pair"))).alias("mine"))
+    mine = mine.select("node", F.when(F.size("mine") <= MOST_LISTED, F.col("mine")).otherwise(F.array().cast("array<struct<key:bigint,pair:boolean>>")).alias("mine"))
+    about = maps.select("node", "bits").join(mine, "node")
     between = before.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     between = between.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    between = between.select("key", "node", "n", "place", "leads", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(maps.select("node", "bits"), "node")
+    between = between.select("key", "node", "n", "place", "leads", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(about, "node")
     between = between.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n").mapInArrow(_within(percent), "a long, b long")
     links = links.union(_verified(texts, reps, between.distinct(), n, percent))
 
