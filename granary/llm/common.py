@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import shutil
 import uuid
@@ -113,6 +114,19 @@ def ship(spark: SparkSession) -> None:
     context._granary_shipped = True
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the machine at the end of a task: workers live on for other tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder(key: str | Column, of: int) -> Column:
     """crc32 of the key as text, modulo ``of``; a null key counts as empty text."""
     col = F.col(key) if isinstance(key, str) else key

@@ -22,8 +22,12 @@ def smallest(rows: DataFrame, group: str, counts: dict, most: int, seed: int = 0
     return rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most).drop("__n", "__h")
 
 
+#: Bytes of each label's texts that the driver may hold.
+MOST_BYTES = 24 << 20
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int], seed: int = 0) -> tuple[list[tuple[str, object]], dict[object, int]]:
-    """(text, label) of at most ``most`` documents of each label, and all labels' counts.
+    """(text, label) of at most ``most`` documents and MOST_BYTES of each label, and all labels' counts.
 
     ``fold`` is (modulus, remainder) of the doc_ids that are held out. Of a
     label's documents those with the smallest hashes of their ids are taken, so
@@ -33,10 +37,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: tu
     largest, null labels and ids do not count, and a doc_id with several texts
     gives them all.
     """
+    spark = docs.sparkSession
     rows = labels.select(F.col("doc_id"), F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", fold[0]) != fold[1]))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    picked = stored(smallest(rows, "label", counts, most, seed), "sample")
+    # Up to this limit Spark cuts each partition's rows before they are ranked.
+    limit, before = "spark.sql.optimizer.windowGroupLimitThreshold", spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set(limit, str(max(most, int(before))))
+    try:
+        picked = stored(smallest(rows, "label", counts, most, seed), "sample")
+    finally:
+        spark.conf.set(limit, before)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
-    found = sorted(((r["doc_id"], r["text"], r["label"]) for r in texts.select("doc_id", "text", "label").collect()), key=lambda r: (r[0], r[1]))
+    texts = stored(texts.select("label", F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("h"), "doc_id", "text"), "texts")
+    by = Window.partitionBy("label").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    few = texts.withColumn("bytes", F.sum(F.octet_length("text")).over(by)).where(F.col("bytes") <= MOST_BYTES)
+    found = sorted(((r["doc_id"], r["text"], r["label"]) for r in few.select("doc_id", "text", "label").collect()), key=lambda r: (r[0], r[1]))
     return [(t, y) for _, t, y in found], counts

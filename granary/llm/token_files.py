@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, stored
+from .common import give_back, scratch, ship, stored
 from .files import place
 
 # Fixed values of the zstandard seekable format.
@@ -37,9 +37,9 @@ INDEX_MAGIC = 0x184D2A50
 #: Plain bytes in a frame, and in a file, from which a new one begins.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 26
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 1 << 23
+TEXT_BYTES = 1 << 22
 #: Pieces of text whose ids a worker remembers, and their greatest length.
-MOST_PIECES, LONGEST_PIECE = 400_000, 64
+MOST_PIECES, LONGEST_PIECE = 200_000, 64
 #: Marks that are cut from the end of a piece; not the apostrophe, with which words may begin.
 MARKS = ".,;:!?#$%&*|()[]"
 
@@ -56,7 +56,7 @@ class Encoder:
 
     Texts are cut at blanks, tabs and line feeds, and each distinct piece is
     encoded once. That is sound only for tokenizers that drop white space where
-    words are cut, which the file tells; others get whole texts. A worker keeps its encoders and their pieces from task to task.
+    words are cut, which the file tells; others get whole texts. A worker keeps its encoders from task to task, and their pieces during one.
     """
 
     _kept: dict[tuple[str, int], Encoder] = {}
@@ -278,6 +278,9 @@ def _writing(folder: str, tokenizer: str, end: int | None) -> Callable[[Iterator
                         writer = None
         if writer:
             files.append(writer.close())
+        encode.pieces.clear()
+        encode.parts.clear()
+        give_back()
         if files:
             yield pa.record_batch({"part": [part] * len(files), "file": list(range(len(files))), "path": [f[0] for f in files], "docs": [f[1] for f in files], "ids": [f[2] for f in files]}, schema=_MANIFEST)
 

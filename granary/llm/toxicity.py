@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, ship
+from .common import give_back, remainder, ship
 from .samples import labelled
+from .shingles import mixed
 
 _WORD = re.compile(r"[^\W_]+")
 #: The bound of the sample: so many labelled documents of each class.
@@ -29,8 +30,40 @@ ORDER = 6
 DISCOUNTS = (0.75, 2.0, 5.0, 12.0)
 #: What a word begins and ends with.
 BEGIN, END = "\x02", "\x03"
-#: Words that a worker remembers.
-KEPT = 400_000
+#: Words that a worker remembers during a task, and characters that are looked up at once.
+KEPT, CHARACTERS = 100_000, 100_000
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(text: str) -> np.ndarray:
+    return mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+
+
+def _longer(hashes: np.ndarray, codes: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of n-grams of ``order`` characters, from those of what is before the last one."""
+    return mixed(hashes * _M + codes + np.uint64(order))
+
+
+@dataclass
+class Table:
+    """Numbers by the hash of an n-gram: 12 bytes each."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, found: Sequence[tuple[np.ndarray, np.ndarray]]) -> Table:
+        keys = np.concatenate([k for k, _ in found])
+        order = np.argsort(keys)
+        return cls(keys[order], np.concatenate([v for _, v in found])[order].astype(np.float32))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers, 0 where there is none, and where there is one."""
+        if not len(self.keys):
+            return np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        there = self.keys[at] == hashes
+        return np.where(there, self.values[at], 0.0), there
 
 
 @dataclass
@@ -39,42 +72,61 @@ class Model:
 
     ``grams`` has the n-grams that either class has seen: the ratio of their
     last character's probabilities after the others. For any other n-gram both
-    models back off: ``contexts`` has the ratio of the backoff weights, and the
-    n-gram without its first character decides.
+    models back off: ``contexts`` has the ratio of the backoff weights, if it is
+    not 0, and the n-gram without its first character decides.
     """
 
-    grams: dict[str, float]
-    contexts: dict[str, float]
+    grams: Table
+    contexts: Table
     scale: tuple[float, ...] = (1.0, 0.0, 0.0)
     seen: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
-        grams, contexts, total = self.grams, self.contexts, 0.0
-        framed = BEGIN + word + END
-        for i in range(1, len(framed)):
-            lo = max(0, i - ORDER + 1)
-            while lo <= i:
-                found = grams.get(framed[lo : i + 1])
-                if found is not None:
-                    total += found
-                    break
-                total += contexts.get(framed[lo:i], 0.0)
-                lo += 1
+        return float(self.words([word])[0])
+
+    def words(self, words: Sequence[str]) -> np.ndarray:
+        """Each word's sum, all words at once."""
+        total, lo = np.zeros(len(words)), 0
+        while lo < len(words):
+            hi, size = lo, 0
+            while hi < len(words) and size < CHARACTERS:
+                size += len(words[hi]) + 2
+                hi += 1
+            total[lo:hi] = self._words(words[lo:hi])
+            lo = hi
+        return total
+
+    def _words(self, words: Sequence[str]) -> np.ndarray:
+        codes = _codes("".join(BEGIN + w + END for w in words))
+        long = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        of = np.repeat(np.arange(len(words)), long)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(long) - long, long)
+        ending = [np.zeros(len(codes) + 1, np.uint64)]  # ending[k][i + 1]: of the k characters up to the i-th
+        for k in range(1, ORDER + 1):
+            ending.append(np.r_[np.uint64(0), _longer(ending[-1][:-1], codes, k)])
+        at, total = np.flatnonzero(place > 0), np.zeros(len(words))
+        for k in range(ORDER, 0, -1):
+            mine = place[at] + 1 >= k
+            now = at[mine]
+            adds, there = self.grams.find(ending[k][now + 1])
+            back, _ = self.contexts.find(ending[k - 1][now])
+            total += np.bincount(of[now], np.where(there, adds, back), len(words))
+            at = np.concatenate([at[~mine], now[~there]])
         return total
 
     def ratios(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's sum of log ratios, and its number of words."""
         sums, lengths = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if len(self.seen) > KEPT:
+        for lo in range(0, len(texts), 64):
+            found = [_WORD.findall(t.lower()) for t in texts[lo : lo + 64]]
+            fresh = set().union(*found).difference(self.seen)
+            if len(self.seen) + len(fresh) > KEPT:
                 self.seen.clear()
-            seen, found = self.seen, _WORD.findall(text.lower())
-            adds = list(map(seen.get, found))
-            if None in adds:
-                for w in {w for w, x in zip(found, adds, strict=True) if x is None}:
-                    seen[w] = self.word(w)
-                adds = map(seen.__getitem__, found)
-            sums[i], lengths[i] = sum(adds), len(found)
+                fresh = set().union(*found)
+            some = sorted(fresh)
+            self.seen.update(zip(some, self.words(some).tolist(), strict=True))
+            for i, words in enumerate(found, lo):
+                sums[i], lengths[i] = sum(map(self.seen.__getitem__, words)), len(words)
         return sums, lengths
 
     @staticmethod
@@ -88,68 +140,82 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-Counts = list[dict[str, int]]
-
-
-def counted(texts: Sequence[str]) -> Counts:
-    """A class's counts by order: of ORDER-grams how often they occur, of shorter ones after how many characters.
-
-    What a word begins with has nothing before it, so there occurrences count.
-    """
+def counted(texts: Sequence[str]) -> Counter:
+    """How often a class has each word."""
     words: Counter = Counter()
     for t in texts:
         words.update(_WORD.findall(t.lower()))
-    found: Counts = [{} for _ in range(ORDER + 1)]
-    for w, n in words.items():
-        framed = BEGIN + w + END
-        for i in range(2, len(framed) + 1):
-            lo = max(0, i - ORDER)
-            at = found[i - lo]
-            at[framed[lo:i]] = at.get(framed[lo:i], 0) + n
-    for order in range(ORDER, 1, -1):
-        below = found[order - 1]
-        for g in found[order]:
-            if len(g) > 1:
-                below[g[1:]] = below.get(g[1:], 0) + 1
-    return found
-
-
-def train(toxic: Counts, ordinary: Counts, discount: float = 0.75) -> Model:
-    """Interpolated Kneser-Ney of characters within words, for each class, over shared backoff counts.
-
-    The lowest order is one for both classes, from the sum of their counts. Any
-    order above takes its class's counts, less the discount, and backs off with
-    what was taken off; counts up to the discount back off entirely, so that an
-    expression that is rare in a class is as likely in both.
+    return words
+
+
+class Grams:
+    """The n-grams of two classes' words, as hashes: places of all distinct words, and each class's counts at them.
+
+    Of ORDER-grams it is counted how often they occur, of shorter ones after how
+    many characters; what a word begins with has nothing before it, so there
+    occurrences count.
     """
-    singles = Counter(toxic[1])
-    singles.update(ordinary[1])
-    total = sum(singles.values()) + len(singles) + 1
-    odds = {g: ((n + 1) / total,) * 2 for g, n in singles.items()}
-    unseen = (1 / total,) * 2
-    grams, contexts = dict.fromkeys(odds, 0.0), {}
-    for order in range(2, ORDER + 1):
-        sums: list[dict[str, float]] = [{}, {}]
-        backs: list[dict[str, float]] = [{}, {}]
-        for side, counts in enumerate((toxic[order], ordinary[order])):
-            total_of, back_of = sums[side], backs[side]
-            for g, n in counts.items():
-                h = g[:-1]
-                total_of[h] = total_of.get(h, 0) + n
-                back_of[h] = back_of.get(h, 0) + min(n, discount)
-        now = {}
-        for g in toxic[order].keys() | ordinary[order].keys():
-            h, p = g[:-1], list(odds.get(g[1:], unseen))
-            for side, counts in enumerate((toxic[order], ordinary[order])):
-                if h in sums[side]:
-                    p[side] = (max(counts.get(g, 0) - discount, 0) + backs[side][h] * p[side]) / sums[side][h]
-            now[g] = (p[0], p[1])
-            grams[g] = math.log(p[0]) - math.log(p[1])
-        for h in sums[0].keys() | sums[1].keys():
-            a, b = (backs[side][h] / sums[side][h] if h in sums[side] else 1.0 for side in (0, 1))
-            contexts[h] = math.log(a) - math.log(b)
-        odds |= now
-    return Model(grams, contexts)
+
+    def __init__(self, *classes: Counter):
+        words = sorted(set().union(*classes))
+        codes = _codes("".join(BEGIN + w + END for w in words))
+        long = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        of = np.repeat(np.arange(len(words)), long)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(long) - long, long)
+        self.ending = [np.zeros(len(codes) + 1, np.uint64)]
+        for k in range(1, ORDER + 1):
+            self.ending.append(np.r_[np.uint64(0), _longer(self.ending[-1][:-1], codes, k)])
+        self.classes: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        for words_of in classes:
+            often = np.fromiter((words_of.get(w, 0) for w in words), float, len(words))[of]
+            found, above = {}, np.empty(0, np.int64)
+            for k in range(ORDER, 0, -1):
+                at = np.flatnonzero((often > 0) & ((place >= k - 1) if k == ORDER else (place == k - 1)) & (place > 0))
+                at, n = np.concatenate([at, above]), np.concatenate([often[at], np.ones(len(above))])
+                _, first, which = np.unique(self.ending[k][at + 1], return_index=True, return_inverse=True)
+                found[k] = at[first], np.bincount(which, n, len(first))
+                above = at[first]
+            self.classes.append(found)
+
+    def model(self, discount: float) -> Model:
+        """Interpolated Kneser-Ney of characters within words, for each class, over shared backoff counts.
+
+        The lowest order is one for both classes, from the sum of their counts. Any
+        order above takes its class's counts, less the discount, and backs off with
+        what was taken off; counts up to the discount back off entirely, so that an
+        expression that is rare in a class is as likely in both.
+        """
+        at = np.concatenate([c[1][0] for c in self.classes])
+        keys, which = np.unique(self.ending[1][at + 1], return_inverse=True)
+        singles = np.bincount(which, np.concatenate([c[1][1] for c in self.classes]), len(keys))
+        odds = np.repeat(((singles + 1) / (singles.sum() + len(singles) + 1))[:, None], 2, axis=1)
+        grams, contexts = [(keys, np.zeros(len(keys)))], []
+        for k in range(2, ORDER + 1):
+            at = np.concatenate([c[k][0] for c in self.classes])
+            own, first = np.unique(self.ending[k][at + 1], return_index=True)
+            at = at[first]
+            before, below = self.ending[k - 1][at], odds[np.searchsorted(keys, self.ending[k - 1][at + 1])]
+            heads, head = np.unique(before, return_inverse=True)
+            back = np.ones((len(heads), 2))
+            for side, c in enumerate(self.classes):
+                mine, n = c[k]
+                count = np.zeros(len(own))
+                count[np.searchsorted(own, self.ending[k][mine + 1])] = n
+                total = np.bincount(head, count, len(heads))
+                there = total > 0
+                back[there, side] = np.bincount(head, np.minimum(count, discount), len(heads))[there] / total[there]
+                seen = there[head]
+                below[seen, side] = np.maximum(count - discount, 0)[seen] / total[head][seen] + (back[head, side] * below[:, side])[seen]
+            grams.append((own, np.log(below[:, 0]) - np.log(below[:, 1])))
+            ratio = np.log(back[:, 0]) - np.log(back[:, 1])
+            contexts.append((heads[ratio != 0], ratio[ratio != 0]))
+            keys, odds = own, below
+        return Model(Table.of(grams), Table.of(contexts))
+
+
+def train(toxic: Counter, ordinary: Counter, discount: float = 0.75) -> Model:
+    """The model of two classes' words."""
+    return Grams(toxic, ordinary).model(discount)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -180,15 +246,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     y = np.array([1.0] * len(held[0]) + [0.0] * len(held[1]))
     weight = np.where(y == 1, counts[1] / len(held[0]), counts[0] / len(held[1]))
     found = []
-    sides = [counted([t for i, t in enumerate(s) if i % 5 or len(s) < 5]) for s in sides]
+    grams = Grams(*(counted([t for i, t in enumerate(s) if i % 5 or len(s) < 5]) for s in sides))
     for discount in DISCOUNTS:
-        model = train(*sides, discount)
+        model = grams.model(discount)
         x = model.features(*model.ratios(held[0] + held[1]))
         model.scale = _logistic(x, y, weight / weight.mean())
         p = np.clip(1 / (1 + np.exp(-(x @ np.array(model.scale[:2]) + model.scale[2]))), 1e-9, 1 - 1e-9)
+        model.seen.clear()
         found.append((float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), discount, model))
     best = min(found, key=lambda f: f[:2])[2]
-    best.seen.clear()
+    del grams, found, sample, sides, held
+    give_back()
     return best
 
 
@@ -199,6 +267,8 @@ def _scoring(model, carried: int):
                 some = batch.slice(lo, 512)
                 found = model.value.scores([t or "" for t in some.column(some.num_columns - 1).to_pylist()])
                 yield pa.record_batch([*some.columns[:carried], pa.array(found, pa.float64())], names=[*some.schema.names[:carried], "score"])
+        model.value.seen.clear()
+        give_back()
 
     return score
 
@@ -237,5 +307,7 @@ def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5)
                 some = batch.slice(lo, 512)
                 scores = model_in.value.scores([t or "" for t in some.column(at).to_pylist()])
                 yield some.filter(pa.array(scores < threshold))
+        model_in.value.seen.clear()
+        give_back()
 
     return docs.select(*columns).mapInArrow(keep, docs.schema)
