@@ -57,8 +57,22 @@ def test_decontamination(odd, items):
     assert found[7]["n_hit"] == 14 and found[3]["n_hit"] == 1 and not found[4]["contaminated"]
     for i in (0, 1, 2):
         assert (found[i]["n_words"], found[i]["n_hit"], found[i]["items_sha256"]) == (0, 0, hashlib.sha256(b"").hexdigest())
-    joined = by_id(decontamination.report(odd, items, most_in_set=1))
-    assert joined == found
+
+
+def test_decontamination_by_many_windows(spark, monkeypatch):
+    """200,000 windows, some of them in every document, a set too small to tell them apart, and items of each length."""
+    r = random.Random(3)
+    monkeypatch.setattr(decontamination, "MOST_SLOTS", 16)
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [" ".join(f"t{r.randrange(500)}" for _ in range(10_000)) for _ in range(20)]
+    short = [" ".join(f"s{k}x{i}" for i in range(k)) for k in range(1, 10)]
+    items = spark.createDataFrame(list(enumerate([*texts, common, *short])), "item_id long, text string")
+    docs = [f"a{k} {common} b{k} " + " ".join(texts[k % 20].split()[k : k + 12]) + f" z {short[k % 9].upper()}!" for k in range(60)] + ["nothing of it"]
+    found = by_id(decontamination.report(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items))
+    for k in range(60):
+        assert (found[k]["n_hit"], found[k]["n_items"]) == (12 + 12 + k % 9 + 1, 3) and found[k]["n_words"] == len(re.findall(r"[a-z0-9]+", docs[k].lower().replace("_", " ")))
+    assert not found[60]["contaminated"]
 
 
 def test_decontamination_removes(odd, items, nothing):
@@ -127,6 +141,28 @@ def test_crf_gradients():
         t.p[k][at] = kept
 
 
+def test_tagger_alone(spark):
+    """Spans set into prose of held-out documents, among them forms that the patterns do not know: the tagger without the patterns."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.fit(docs)
+    held = docs.where(remainder("doc_id", 5) == 0).where("length(text) > 400").selectExpr("substring(text, 100, 160) AS t").limit(400)
+    prose = tuple(sorted(r["t"] for r in held.collect() if not re.search("[0-9@]", r["t"]) and r["t"].strip()))
+    found = wanted = right = missed_by_patterns = 0
+    for text, spans in pii.labelled_texts(300, 77, prose):
+        ((_, parts),) = [(None, p) for p in pii._tagged([text], model)]
+        got, want = set(pii.reconcile(text, parts, [])), set(spans)
+        found, wanted, right = found + len(got), wanted + len(want), right + len(got & want)
+        missed_by_patterns += len((got & want) - set(pii.base_spans(text)))
+    assert right >= 0.9 * wanted and right >= 0.95 * found and missed_by_patterns > 0.2 * wanted
+    small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert pii.find(small, model).agg(F.sum("n_added")).first()[0] > 0
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("x", "a@b.org"), (None, None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_email"]) for r in pii.find(docs).collect()} == {("x", 1), (None, 0)}
+
+
 # 3, 4, 5
 
 
