@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of anything but ASCII white space.
-SPACED_WORDS = r"[^\x20\x09-\x0D]+"
+#: Runs of anything but ASCII white space: said as what they hold, which is matched faster than what they do not.
+SPACED_WORDS = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 #: ASCII letters, for lower-casing these and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

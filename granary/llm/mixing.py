@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     Returns doc_id, size, source_size, target, taken, copies; with ``keep`` also
     all columns of ``docs`` as a struct ``doc``.
 
-    Documents are put in order of (source, size from large to small, doc_id).
+    Documents are put in order of (source, size from large to small, doc_id, hash of the text).
     Each document's expected copies are target / source_size; they are summed
     along that order within its source, one random offset is added, and a copy
     is taken for each whole number that the sum crosses. With sizes in order the
@@ -71,10 +71,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     for ``keep``.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORDS)), F.lit(0)).cast("long")
-    cols = [F.col("doc_id"), F.col("source"), size.alias("size")]
+    cols = [F.col("doc_id"), F.col("source"), size.alias("size"), F.xxhash64("text").alias("__tie")]
     if keep:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_first()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.col("__tie")]
     sized = docs.select(*cols)
     sized = sized if keep else stored(sized, "mix-sizes")
     placed = stored(sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "mix-order")
