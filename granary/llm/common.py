@@ -94,9 +94,18 @@ def keys(df: DataFrame, name: str, most: int = MOST_KEYS) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once a context."""
+    """Sends this package to the executors' Python workers, once a context.
+
+    Batches of Spark's default size, 10,000 rows, are made smaller: rows are
+    whole texts here, and a batch is held by the JVM and by its worker.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, "2000")
     if getattr(context, "_granary_shipped", False):
         return
     from .files import place

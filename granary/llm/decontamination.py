@@ -14,7 +14,7 @@ from .common import ascii_lower, keys, stored
 WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Slots of the hash set for each window, and of the largest set: 64 MB. A fuller one lets more by to be verified.
-SLOTS, MOST_SLOTS = 256, 26
+SLOTS, MOST_SLOTS = 32, 26
 #: So many bytes of windows may be broadcast to the check of the hits.
 MOST_BROADCAST = 24 << 20
 
@@ -62,8 +62,8 @@ def _halves(k: int) -> set[int]:
 
 
 def hash_set(hashes: DataFrame) -> tuple[bytes, int]:
-    """A byte for each slot, 1 at two slots of each hash, and the bits of a slot's number. The driver gets the slots alone."""
-    bits = min(MOST_SLOTS, max(16, (SLOTS * max(1, hashes.count()) - 1).bit_length()))
+    """A byte for each slot, 1 at three slots of each hash, and the bits of a slot's number. The driver gets the slots alone."""
+    bits = min(MOST_SLOTS, max(12, (SLOTS * max(1, hashes.count()) - 1).bit_length()))
     found = hashes.select(F.explode(F.array(*_slots(F.col("hash"), bits))).alias("slot")).distinct().toPandas()["slot"]
     slots = bytearray(1 << bits)
     for i in found:
@@ -72,7 +72,7 @@ def hash_set(hashes: DataFrame) -> tuple[bytes, int]:
 
 
 def _slots(h: Column, bits: int) -> list[Column]:
-    return [F.shiftrightunsigned(h, 64 - bits).cast("int"), h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")]
+    return [F.shiftrightunsigned(h, 64 - bits).cast("int"), h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"), F.shiftrightunsigned(F.xxhash64(h), 64 - bits).cast("int")]
 
 
 def hits(docs: DataFrame, items: DataFrame, n: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -96,10 +96,14 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, carry: tuple[str, ...]
     names = [f"__c{i}" for i in range(len(carry))]
     read = docs.select(F.col("doc_id"), *kept, F.monotonically_increasing_id().alias("__row"), _words(F.col("text")).alias("__words"))
     read = _hashed(read.withColumn("__low", F.transform("__words", F.lower)), set(lengths))
-    there = lambda h: F.substring(F.lit(data), _slots(h, bits)[0] + 1, F.lit(1)) == F.lit(b"\x01")
-    also = lambda h: F.substring(F.lit(data), _slots(h, bits)[1] + 1, F.lit(1)) == F.lit(b"\x01")
+    slots, one = F.lit(data), F.lit(b"\x01")
+
+    def there(h: Column) -> Column:
+        a, b, c = (F.substring(slots, slot + 1, F.lit(1)) == one for slot in _slots(h, bits))
+        return a & b & c
+
     for k in lengths:
-        found = F.transform(f"__h{k}", lambda h, i: F.when(there(h) & also(h), F.struct((i + 1).alias("at"), h.alias("hash"))))
+        found = F.transform(f"__h{k}", lambda h, i: F.when(there(h), F.struct((i + 1).alias("at"), h.alias("hash"))))
         read = read.withColumn(f"__p{k}", F.array_compact(found))
     shape = "array<struct<n:int,at:int,hash:bigint,words:array<string>>>"
 

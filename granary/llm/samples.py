@@ -23,7 +23,7 @@ def smallest(rows: DataFrame, group: str, counts: dict, most: int, seed: int = 0
 
 
 #: Bytes of each label's texts that the driver may hold.
-MOST_BYTES = 24 << 20
+MOST_BYTES = 12 << 20
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: tuple[int, int], seed: int = 0) -> tuple[list[tuple[str, object]], dict[object, int]]:

@@ -35,8 +35,12 @@ KEPT, CHARACTERS = 100_000, 100_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mixed_points(points: np.ndarray) -> np.ndarray:
+    return mixed(points.astype(np.uint64) + np.uint64(1))
+
+
 def _codes(text: str) -> np.ndarray:
-    return mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+    return _mixed_points(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
 
 
 def _longer(hashes: np.ndarray, codes: np.ndarray, order: int) -> np.ndarray:
@@ -158,25 +162,38 @@ class Grams:
 
     def __init__(self, *classes: Counter):
         words = sorted(set().union(*classes))
-        codes = _codes("".join(BEGIN + w + END for w in words))
-        long = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        of = np.repeat(np.arange(len(words)), long)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(long) - long, long)
-        self.ending = [np.zeros(len(codes) + 1, np.uint64)]
-        for k in range(1, ORDER + 1):
-            self.ending.append(np.r_[np.uint64(0), _longer(self.ending[-1][:-1], codes, k)])
+        self.points = np.frombuffer("".join(BEGIN + w + END for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+        long = np.fromiter((len(w) + 2 for w in words), np.int32, len(words))
+        place = np.arange(len(self.points), dtype=np.int32) - np.repeat(np.cumsum(long, dtype=np.int32) - long, long)
         self.classes: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
         for words_of in classes:
-            often = np.fromiter((words_of.get(w, 0) for w in words), float, len(words))[of]
+            often = np.repeat(np.fromiter((words_of.get(w, 0) for w in words), np.float32, len(words)), long)
             found, above = {}, np.empty(0, np.int64)
             for k in range(ORDER, 0, -1):
                 at = np.flatnonzero((often > 0) & ((place >= k - 1) if k == ORDER else (place == k - 1)) & (place > 0))
-                at, n = np.concatenate([at, above]), np.concatenate([often[at], np.ones(len(above))])
-                _, first, which = np.unique(self.ending[k][at + 1], return_index=True, return_inverse=True)
-                found[k] = at[first], np.bincount(which, n, len(first))
-                above = at[first]
+                found[k] = self._distinct(np.concatenate([at, above]), np.concatenate([often[at], np.ones(len(above), np.float32)]), k)
+                above = found[k][0]
             self.classes.append(found)
 
+    def _hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Of the k characters up to these places."""
+        h = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            h = _longer(h, _mixed_points(self.points[at - (k - 1) + j]), j + 1)
+        return h
+
+    def _distinct(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each n-gram of k characters that ends at these places, and its sum; some places at a time."""
+        places, sums = [np.empty(0, np.int64)], [np.empty(0)]
+        for lo in range(0, len(at), CHARACTERS):
+            some = at[lo : lo + CHARACTERS]
+            _, first, which = np.unique(self._hashes(some, k), return_index=True, return_inverse=True)
+            places.append(some[first])
+            sums.append(np.bincount(which, n[lo : lo + CHARACTERS], len(first)))
+        at, n = np.concatenate(places), np.concatenate(sums)
+        _, first, which = np.unique(self._hashes(at, k), return_index=True, return_inverse=True)
+        return at[first], np.bincount(which, n, len(first))
+
     def model(self, discount: float) -> Model:
         """Interpolated Kneser-Ney of characters within words, for each class, over shared backoff counts.
 
@@ -186,21 +203,21 @@ class Grams:
         expression that is rare in a class is as likely in both.
         """
         at = np.concatenate([c[1][0] for c in self.classes])
-        keys, which = np.unique(self.ending[1][at + 1], return_inverse=True)
+        keys, which = np.unique(self._hashes(at, 1), return_inverse=True)
         singles = np.bincount(which, np.concatenate([c[1][1] for c in self.classes]), len(keys))
         odds = np.repeat(((singles + 1) / (singles.sum() + len(singles) + 1))[:, None], 2, axis=1)
         grams, contexts = [(keys, np.zeros(len(keys)))], []
         for k in range(2, ORDER + 1):
             at = np.concatenate([c[k][0] for c in self.classes])
-            own, first = np.unique(self.ending[k][at + 1], return_index=True)
+            own, first = np.unique(self._hashes(at, k), return_index=True)
             at = at[first]
-            before, below = self.ending[k - 1][at], odds[np.searchsorted(keys, self.ending[k - 1][at + 1])]
+            before, below = self._hashes(at - 1, k - 1), odds[np.searchsorted(keys, self._hashes(at, k - 1))]
             heads, head = np.unique(before, return_inverse=True)
             back = np.ones((len(heads), 2))
             for side, c in enumerate(self.classes):
                 mine, n = c[k]
                 count = np.zeros(len(own))
-                count[np.searchsorted(own, self.ending[k][mine + 1])] = n
+                count[np.searchsorted(own, self._hashes(mine, k))] = n
                 total = np.bincount(head, count, len(heads))
                 there = total > 0
                 back[there, side] = np.bincount(head, np.minimum(count, discount), len(heads))[there] / total[there]

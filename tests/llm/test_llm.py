@@ -62,7 +62,7 @@ def test_decontamination(odd, items):
 def test_decontamination_by_many_windows(spark, monkeypatch):
     """200,000 windows, some of them in every document, a set too small to tell them apart, and items of each length."""
     r = random.Random(3)
-    monkeypatch.setattr(decontamination, "MOST_SLOTS", 16)
+    monkeypatch.setattr(decontamination, "MOST_SLOTS", 18)
     monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
     common = " ".join(f"c{i}" for i in range(12))
     texts = [" ".join(f"t{r.randrange(500)}" for _ in range(10_000)) for _ in range(20)]
