@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame
+
 # The codes, and which of them a retry can help.
 CODES = (
     "CONNECTION_FAILED",
@@ -21,32 +24,21 @@ CODES = (
     "UNKNOWN_OPERATOR",
     "UNSUPPORTED_OPERATION",
     "INTERNAL_ERROR",
+    "SCHEMA_MISMATCH",
 )
 RETRYABLE = ("CONNECTION_FAILED", "CONNECTION_LOST", "TIMEOUT", "POOL_EXHAUSTED")
 
-#: What to call instead of methods that other libraries have.
-METHODS = {
-    "find": "query_many(collection, filter, limit=...)",
-    "find_one": "query_one(collection, filter)",
-    "find_one_and_update": "update_one(collection, filter, update)",
-    "find_one_and_delete": "delete_one(collection, filter)",
-    "aggregate": "query_many(collection, filter, limit=...) and DataFrame functions on its result",
-    "save": "insert_one(collection, doc), or update_one(collection, filter, update, upsert=True)",
-    "remove": "delete_one(collection, filter) or delete_many(collection, filter)",
-    "create": "insert_one(collection, doc)",
-    "bulk_write": "batch(operations)",
-    "collection": "the collection's name as the first argument of each method",
-}
-#: What to use instead of stages of aggregation pipelines.
-STAGES = {
-    "$match": "the filter argument",
-    "$project": "the projection option",
-    "$group": "groupBy() on the DataFrame that query_many returns",
-    "$lookup": "query_with_lookup()",
-    "$sort": "the sort option",
-    "$limit": "the limit option",
-    "$skip": "the skip option",
+#: Verbs that may stand for those of this engine's methods.
+_VERBS = {
+    "query": ("query", "find", "get", "fetch", "read", "select", "search", "scan", "where", "list", "load"),
+    "insert": ("insert", "add", "append", "create", "put", "save", "write", "store"),
+    "update": ("update", "modify", "set", "patch", "change", "replace", "merge", "upsert"),
+    "delete": ("delete", "remove", "drop", "erase", "purge"),
+    "count": ("count", "size", "length", "total"),
+    "batch": ("batch", "bulk"),
 }
+#: Words that tell of one row, and options of reads.
+_ONE, _OPTIONS = ("one", "first", "single"), ("sort", "limit", "skip", "projection")
 OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$regex", "$options", "$not", "$size", "$type", "$all", "$elemMatch", "$mod", "$bitsAllSet", "$bitsAnySet", "$bitsAllClear", "$bitsAnyClear", "$and", "$or", "$nor")
 
 
@@ -77,25 +69,45 @@ def distance(a: str, b: str) -> int:
     return kept[-1]
 
 
+def _method_like(name: str) -> str | None:
+    """The method that a name's last verb stands for, of one row or of many."""
+    words = re.findall(r"[a-z]+", re.sub(r"([A-Z])", r"_\1", name).lower())
+    found = [ours for w in words for ours, verbs in _VERBS.items() if w in verbs]
+    if "batch" in found or not found:
+        return "batch" if found else None
+    if found[-1] == "count":
+        return "count"
+    return f"{found[-1]}_{'one' if any(w in _ONE for w in words) else 'many'}"
+
+
 def unknown_method(name: str) -> GranaryError:
-    instead = METHODS.get(name)
-    return GranaryError("UNSUPPORTED_OPERATION", f'There is no method "{name}".', f"Use {instead}." if instead else "Use query_one, query_many, count, insert_one, insert_many, update_one, update_many, delete_one, delete_many, batch, describe, validate or explain.")
+    near = _method_like(name)
+    fix = f"Call {near}() here." if near else "Read with query_one, query_many or count, write with the insert, update and delete methods or batch, and see describe, validate and explain."
+    return GranaryError("UNSUPPORTED_OPERATION", f"Engine has no attribute {name!r}.", fix)
+
+
+def _instead_of(stage: str) -> str | None:
+    """What does the work of a pipeline stage: an option of reads, or else a method of the DataFrame that a read returns."""
+    name = stage.removeprefix("$")
+    option = next((o for o in _OPTIONS if o.startswith(name)), None)
+    if option:
+        return f"Pass {option}= to the read."
+    method = next((m for m in sorted(dir(DataFrame)) if m[:1] != "_" and m.lower().startswith(name.lower())), None)
+    return f"Reads return DataFrames: use their {method}()." if method else None
 
 
 def unknown_operator(name: str, collection: str | None = None) -> GranaryError:
-    if name in STAGES:
-        fix = f"Use {STAGES[name]}."
-    else:
-        near = difflib.get_close_matches(name, OPERATORS, 1)
-        fix = (f"Did you mean {near[0]}? " if near else "") + f"Operators of filters are {', '.join(OPERATORS)}."
-    return GranaryError("UNKNOWN_OPERATOR", f'Unknown operator "{name}".', fix, collection=collection)
+    near = difflib.get_close_matches(name, OPERATORS, 1)
+    fix = (f"Did you mean {near[0]}? " if near else "") or (_instead_of(name) or "")
+    return GranaryError("UNKNOWN_OPERATOR", f'Unknown operator "{name}".', f"{fix} Operators of filters are {', '.join(OPERATORS)}.".strip(), collection=collection)
 
 
 def collection_not_found(name: str, known: Iterable[str]) -> GranaryError:
     known = sorted(known)
     near = closest(name, known)
-    fix = (f'Did you mean "{near}"? ' if near else "") + (f"Collections: {', '.join(known)}." if known else "No collections are registered.")
-    return GranaryError("COLLECTION_NOT_FOUND", f'Collection "{name}" not found.', fix, collection=name)
+    fix = f"Perhaps {near!r} is meant. " if near else ""
+    fix += f"This engine knows {', '.join(known)}." if known else "Create it with ensure_collections or by a first insert."
+    return GranaryError("COLLECTION_NOT_FOUND", f"No table {name!r} is known to this engine.", fix, collection=name)
 
 
 def unknown_field(name: str, known: Iterable[str], collection: str | None = None) -> GranaryError:
@@ -110,6 +122,9 @@ _CONDITIONS = (
     ("PATH_NOT_FOUND", "COLLECTION_NOT_FOUND", "Check the path that the collection is bound to."),
     ("UNRESOLVED_COLUMN", "QUERY_ERROR", "Check the names of fields with describe()."),
     ("CAST_INVALID_INPUT", "QUERY_ERROR", "Compare a field with a value of its own type."),
+    ("INCOMPATIBLE_DATA_FOR_TABLE", "SCHEMA_MISMATCH", "Give the fields the types that describe() shows."),
+    ("CANNOT_MERGE_SCHEMAS", "SCHEMA_MISMATCH", "Give the fields the types that describe() shows."),
+    ("NUM_COLUMNS_MISMATCH", "SCHEMA_MISMATCH", "Give each row all fields of the collection."),
     ("ARITHMETIC_OVERFLOW", "QUERY_ERROR", "Use a wider type for the field."),
     ("DATATYPE_MISMATCH", "QUERY_ERROR", "Compare a field with a value of its own type."),
     ("PARSE_SYNTAX_ERROR", "QUERY_ERROR", "Check the statement."),
