@@ -132,6 +132,7 @@ def give_back() -> None:
 
     gc.collect()
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())  # what this pool frees, the call below returns
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, ship, stored
+from .common import give_back, remainder, ship, stored
 from .samples import smallest
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -21,7 +21,7 @@ MOST, MOST_WORDS, MOST_GRAMS = 1000, 30_000, 30_000
 LONGEST = 5
 UNKNOWN = "und"
 #: Words that a worker remembers.
-KEPT = 200_000
+KEPT = 100_000
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -120,6 +120,8 @@ def _predicting(shared):
                 some = batch.slice(lo, 1024)
                 found = [(UNKNOWN, 0.0) if t is None else model.predict(t) for t in some.column(2).to_pylist()]
                 yield pa.record_batch([some.column(0), some.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "rest", "lang_pred", "score"])
+        model.seen.clear()
+        give_back()
 
     return predict
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, ship
+from .common import give_back, remainder, ship
 from .samples import labelled
 
 #: The bound of the sample: so many labelled documents of each class.
@@ -21,7 +21,7 @@ MOST = 1500
 WORDS, SHAPES, WHOLE = 2048, 512, 48
 DIMENSIONS, NEIGHBOURS, BLOCK = 40, 15, 1024
 #: Tokens that a worker remembers.
-KEPT = 300_000
+KEPT = 150_000
 _SHAPES = [(re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1")]
 
 
@@ -75,6 +75,7 @@ class Model:
     directions: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    share: float = 0.0
     terms: Terms = field(default_factory=Terms)
 
     def project(self, rows: np.ndarray) -> np.ndarray:
@@ -93,6 +94,7 @@ class Model:
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             weight = np.clip(np.take_along_axis(cosines, near, 1), 1e-6, 1).astype(float) ** 4
             out[lo : lo + BLOCK] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+            out[lo : lo + BLOCK][[not t.split() for t in texts[lo : lo + BLOCK]]] = self.share
         return out
 
 
@@ -117,9 +119,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     Both classes have the same say, however rare one is. Without any there is
     no model.
     """
-    sample, _ = labelled(docs, labels, label, most, fold)
+    sample, counts = labelled(docs, labels, label, most, fold)
     sample = [(t, int(y)) for t, y in sample if y in (0, 1)]
-    return train([t for t, _ in sample], [y for _, y in sample]) if sample else None
+    if not sample:
+        return None
+    model = train([t for t, _ in sample], [y for _, y in sample])
+    model.share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
+    return model
 
 
 def _scoring(shared):
@@ -130,6 +136,9 @@ def _scoring(shared):
                 some = batch.slice(lo, BLOCK)
                 found = model.scores([t or "" for t in some.column(2).to_pylist()])
                 yield pa.record_batch([some.column(0), some.column(1), pa.array(found, pa.float64())], names=["doc_id", "rest", "score"])
+        model.terms.known.clear()
+        model.terms.buckets.clear()
+        give_back()
 
     return score
 
@@ -138,8 +147,8 @@ def scored(docs: DataFrame, model: Model | None, fold: tuple[int, int] = (5, 0))
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
     The model is broadcast: at most 2 * MOST vectors and the directions. Cases:
-    null and empty texts have no terms and get the vote of arbitrary, equally
-    far neighbours; with no model every score is 0; repeated rows and null ids
+    null, empty and blank texts have no terms and so no neighbours: their score
+    is the share of label 1 among all labels; with no model every score is 0; repeated rows and null ids
     are like others; an empty table gives an empty result.
     """
     spark = docs.sparkSession

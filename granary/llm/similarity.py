@@ -142,6 +142,7 @@ def _prepared(n: int, percent: int, shared):
         for batch in _texts(batches):
             rows = [_keys(tokens, percent, shared.value) for tokens in sets(batch.column(2), n)]
             yield pa.record_batch({"doc_id": batch.column(0), "text_key": batch.column(1), "n": pa.array([r[0] for r in rows], pa.int64()), "same": pa.array([r[1] for r in rows], pa.binary()), "singles": _lists([r[2] for r in rows]), "pairs": _lists([r[3] for r in rows]), "bits": pa.array([r[4] for r in rows], pa.binary())})
+        give_back()
 
     return prepare
 
@@ -184,6 +185,7 @@ def _indexed(percent: int, shared):
                 for lo in range(0, len(of), 50_000):
                     s = slice(lo, lo + 50_000)
                     yield pa.record_batch({"key": pa.array(found[keep[s]]), "node": pa.array(nodes[of[s]]), "n": pa.array(n[of[s]].astype(np.int32)), "place": pa.array(at[s].astype(np.int32)), "leads": pa.array(leads[s])})
+        give_back()
 
     return rows
 
@@ -206,6 +208,7 @@ def _possible(percent: int):
             ok = [100 * (o := most_shared(np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), k)) >= percent * (m + k - o) for m, x, k, y in zip(*c, strict=True)]
             flags = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(flags), batch.column(1).filter(flags)], names=["a", "b"])
+        give_back()
 
     return keep
 
@@ -341,6 +344,7 @@ def _sets(n: int):
         for batch in _texts(batches):
             found = list(sets(batch.column(0), n))
             yield pa.record_batch({"same": pa.array([xxhash.xxh3_128_digest(t.tobytes()) for t in found], pa.binary()), "tokens": pa.array([t.tobytes() for t in found], pa.binary())})
+        give_back()
 
     return rows
 
@@ -355,6 +359,7 @@ def _linked(percent: int):
                 ok.append(100 * o >= percent * (len(both) - o))
             flags = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(flags), batch.column(1).filter(flags)], names=["a", "b"])
+        give_back()
 
     return keep
 
