@@ -43,7 +43,7 @@ STRETCH, OFTEN_HERE, OFTEN = 2_000_000, 4, 32
 #: Documents of a key that are compared with each other in one group.
 BLOCK = 1000
 #: So many documents of a key, one after the other, are compared with all others at first.
-TURNS = 5
+TURNS = 2
 #: A document with more open keys than these brings no list of them: it may be told of under several.
 MOST_LISTED = 512
 #: Texts that are shingled at once.
