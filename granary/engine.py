@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -230,13 +231,55 @@ class Engine:
             self.log.done(name, operation, began, receipt)
             return receipt
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        seen = None if self._staged is not None else self._files().manifest()["version"]
-        path = self._files().write(name, df)
+    def _now(self) -> tuple[dict, int | None]:
+        """Where the tables' rows are, and the version that says so."""
+        if self._staged is not None:
+            return self._staged["tables"], None
+        now = self._files().manifest()
+        return now["tables"], now["version"]
+
+    def _publish(self, name: str, paths: str | list[str], seen: int | None) -> None:
         if self._staged is not None:
-            self._staged["tables"][name] = self._staged["changed"][name] = path
+            self._staged["tables"][name] = self._staged["changed"][name] = paths
+        else:
+            self.store.publish({name: paths}, seen)
+
+    def _replace(self, name: str, df: DataFrame) -> None:
+        _, seen = self._now()
+        self._publish(name, self._files().write(name, df), seen)
+
+    def _append(self, name: str, new: DataFrame) -> None:
+        """New files beside the table's; tables from elsewhere whose folders hold values are written anew."""
+        tables, seen = self._now()
+        paths = self._files().locations(name, tables)
+        if self._files().flat(paths):
+            self._publish(name, [*paths, self._files().write(name, new)], seen)
         else:
-            self.store.publish({name: path}, seen)
+            self._replace(name, self.table(name).unionByName(new))
+
+    def _one_row(self, name: str, spec, order_by, changes: Mapping[str, Any] | None) -> bool:
+        """Changes the first match, or without ``changes`` deletes it: the file that holds it is replaced, no other."""
+        tables, seen = self._now()
+        paths, df = self._files().locations(name, tables), self._files().read(name, tables)
+        new = writes.assignments(changes, df.schema, self._required(name), self.config.profile) if changes is not None else {}
+        place = writes.first_place(df, spec, order_by=order_by, profile=self.config.profile)
+        if place is None:
+            return False
+        file, hit = unquote(place[0]), writes.at(place[1])
+        kept = self._files().without(paths, file) if self._files().flat(paths) else None
+        # Where files do not stand for themselves, all of them count as the one that is replaced.
+        part = df if kept is None else self.spark.read.schema(df.schema).parquet(file)
+        hit = hit if kept is not None else hit & (F.col("_metadata.file_path") == place[0])
+        if any(set(i.fields) & set(new) for i in self._unique_indexes(name)):
+            self._unique(name, df.filter(~(writes.at(place[1]) & (F.col("_metadata.file_path") == place[0]))), writes.changed(part.filter(hit), F.lit(True), new), set(new))
+        after = writes.changed(part, hit, new) if changes is not None else part.filter(~hit)
+        self._publish(name, [*(kept or []), self._files().write(name, after)], seen)
+        return True
+
+    def compact(self, name: str) -> None:
+        """Writes the table anew, in one folder: for tables that many inserts left in many files."""
+        with self._call("compact", name):
+            self._replace(name, self.table(name))
 
     def _required(self, name: str) -> list[str]:
         return self.schemas[name].required if name in self.schemas else []
@@ -244,9 +287,9 @@ class Engine:
     def _insert(self, name: str, docs) -> dict[str, int]:
         df = self.table(name)
         if isinstance(docs, DataFrame):
-            new, seen = docs, Observation()
+            new, seen = writes.conformed(self._ruled(name, docs), df.schema), Observation()
             self._unique(name, df, new)
-            self._replace(name, writes.insert(df, new.observe(seen, F.count(F.lit(1)).alias("n"))))
+            self._append(name, new.observe(seen, F.count(F.lit(1)).alias("n")))
             return {"inserted": seen.get["n"]}
         docs = [sanitize.document(d, name, self.config.rules) for d in docs]
         if self.config.timestamps:
@@ -259,17 +302,34 @@ class Engine:
             return {"inserted": 0}
         new = writes.rows_of(self.spark, docs, df.schema)
         self._unique(name, df, new)
-        self._replace(name, df.unionByName(new))
+        self._append(name, new)
         return {"inserted": len(docs)}
 
-    def _unique(self, name: str, df: DataFrame, new: DataFrame) -> None:
-        for index in self.schemas[name].indexes if name in self.schemas else ():
-            if index.unique:
-                keys = list(index.fields)
+    def _ruled(self, name: str, new: DataFrame) -> DataFrame:
+        """A DataFrame under what holds for documents: rules, times, the schema."""
+        if self.config.rules:
+            new = sanitize.columns(new, name, self.config.rules)
+        if times := self.config.timestamps:
+            now = times.now()
+            new = new.withColumns({k: F.lit(now) for k in (times.created, times.updated) if k not in new.columns})
+        if self.config.validate and name in self.schemas:
+            self.schemas[name].check_rows(new)
+        return new
+
+    def _unique_indexes(self, name: str) -> list[Index]:
+        return [i for i in self.schemas[name].indexes if i.unique] if name in self.schemas else []
+
+    def _unique(self, name: str, df: DataFrame, new: DataFrame, touched: set[str] | None = None) -> None:
+        """No key of the new rows is twice among them or in the table; nulls are never alike."""
+        for index in self._unique_indexes(name):
+            keys = list(index.fields)
+            if touched is None or touched & set(keys):
                 rows = new.select(*keys).dropna()
-                both = rows.union(df.select(*keys).join(rows.distinct(), keys, "left_semi"))
-                if bad := both.groupBy(*keys).count().where("count > 1").first():
-                    raise GranaryError("DUPLICATE_KEY", f"{name} has {', '.join(f'{k}={bad[k]!r}' for k in keys)} already.", "Use update_one, or look with query_one first.", collection=name)
+                self._no_twins(name, keys, rows.union(df.select(*keys).join(rows.distinct(), keys, "left_semi")))
+
+    def _no_twins(self, name: str, keys: list[str], rows: DataFrame) -> None:
+        if bad := rows.groupBy(*keys).count().where("count > 1").first():
+            raise GranaryError("DUPLICATE_KEY", f"{name} has {', '.join(f'{k}={bad[k]!r}' for k in keys)} already.", "Use update_one, or look with query_one first.", collection=name)
 
     def _changes(self, name: str, update: Mapping[str, Any]) -> dict[str, Any]:
         update = sanitize.update(update, name, self.config.rules) if self.config.rules else dict(update)
@@ -286,16 +346,16 @@ class Engine:
         df, seen = self.table(name), Observation()
         hit = holds(spec, df.schema, self.config.profile)
         changes = self._changes(name, update)
+        new = writes.assignments(changes, df.schema, self._required(name), self.config.profile)
+        if any(set(i.fields) & set(new) for i in self._unique_indexes(name)):
+            self._unique(name, df.filter(~hit), writes.changed(df.filter(hit), F.lit(True), new), set(new))
         after = writes.update_many(df.observe(seen, F.count_if(hit).alias("n")), spec, changes, required=self._required(name), profile=self.config.profile)
         self._replace(name, after)
         return {"matched": seen.get["n"], "modified": seen.get["n"]}
 
     def _update_one(self, name: str, spec, update, upsert: bool, order_by) -> dict[str, int]:
         spec = self._filter(name, spec)
-        df, changes = self.table(name), self._changes(name, update)
-        writes.assignments(changes, df.schema, self._required(name), self.config.profile)
-        if df.filter(holds(spec, df.schema, self.config.profile)).limit(1).count():
-            self._replace(name, writes.update_one(df, spec, changes, order_by=order_by, required=self._required(name), profile=self.config.profile))
+        if self._one_row(name, spec, order_by, self._changes(name, update)):
             return {"matched": 1, "modified": 1}
         if not upsert:
             return {"matched": 0, "modified": 0}
@@ -304,13 +364,11 @@ class Engine:
     def _delete(self, name: str, spec, confirm, order_by, one: bool) -> dict[str, int]:
         spec = self._filter(name, spec)
         self._guard("delete_one" if one else "delete_many", name, spec, **({} if one else {"confirm": confirm}))
+        if one:
+            n = int(self._one_row(name, spec, order_by, None))
+            return {"matched": n, "deleted": n}
         df = self.table(name)
         hit = holds(spec, df.schema, self.config.profile)
-        if one:
-            if not df.filter(hit).limit(1).count():
-                return {"matched": 0, "deleted": 0}
-            self._replace(name, writes.delete_one(df, spec, order_by=order_by, profile=self.config.profile))
-            return {"matched": 1, "deleted": 1}
         if filters.is_trivial(spec):  # the plan has no rows left to observe
             n = df.count()
             self._replace(name, df.limit(0))
@@ -345,7 +403,12 @@ class Engine:
         return [create_table(c, dialect) for c in missing]
 
     def ensure_indexes(self, dry_run: bool = False, dialect: str = "pg") -> list[str]:
-        """Statements for registered indexes. Unique ones are checked whenever rows are inserted."""
+        """Statements for registered indexes. Unique ones are checked here and whenever a write touches their fields."""
+        there = set() if dry_run else set(self.collections())
+        for c in self.schemas.values():
+            for i in self._unique_indexes(c.name) if c.name in there else ():
+                with self._call("ensure_indexes", c.name):
+                    self._no_twins(c.name, list(i.fields), self.table(c.name).select(*i.fields).dropna())
         return [create_index(c.name, i, dialect) for c in self.schemas.values() for i in c.indexes]
 
     def describe(self, name: str) -> dict[str, Any]:

@@ -76,6 +76,23 @@ def _with_row(df: DataFrame) -> DataFrame:
         return df.withColumn(_ROW, F.struct(F.lit("").alias("file_path"), F.monotonically_increasing_id().alias("row_index")))
 
 
+def first_place(df: DataFrame, spec: Mapping[str, Any] | None, *, order_by: Mapping[str, Any] | None = None, profile: str = "sql") -> tuple[str, int] | None:
+    """The file of the first row that matches, by ``order_by`` or else by its place, and its index there."""
+    rows = df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(_ROW)).filter(holds(spec, df.schema, profile))
+    found = rows.orderBy(*order(order_by, df.schema), F.col(f"{_ROW}.file_path"), F.col(f"{_ROW}.row_index")).select(_ROW).first()
+    return tuple(found[0]) if found else None
+
+
+def at(index: int) -> Column:
+    """Whether a file's row has this index."""
+    return F.col("_metadata.row_index") == index
+
+
+def changed(df: DataFrame, hit: Column, new: Mapping[str, Column]) -> DataFrame:
+    """The rows with new values where ``hit`` holds."""
+    return df.select(*_changed(df, hit, new))
+
+
 def _one(rows: DataFrame, spec: Mapping[str, Any] | None, order_by: Mapping[str, Any] | None, schema: T.StructType, profile: str) -> DataFrame:
     """The id of the first row that matches: one row at most, so it is always small enough to broadcast."""
     found = rows.filter(holds(spec, schema, profile)).orderBy(*order(order_by, schema), F.col(f"{_ROW}.file_path"), F.col(f"{_ROW}.row_index")).limit(1)
@@ -120,13 +137,15 @@ def rows_of(spark: SparkSession, docs: Sequence[Mapping[str, Any]], schema: T.St
     return spark.createDataFrame([tuple(doc.get(f.name) for f in schema.fields) for doc in docs], loose)
 
 
+def conformed(new: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows in the table's columns and types; a column that it lacks is an error, a missing one is null."""
+    if extra := [c for c in new.columns if c not in schema.names]:
+        raise GranaryError("VALIDATION_ERROR", f'The table has no "{extra[0]}".', f"Fields: {', '.join(schema.names)}.")
+    return new.select(*[(F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def insert(df: DataFrame, docs: Sequence[Mapping[str, Any]] | DataFrame) -> DataFrame:
-    new = docs if isinstance(docs, DataFrame) else rows_of(df.sparkSession, docs, df.schema)
-    if isinstance(docs, DataFrame):
-        if extra := [c for c in new.columns if c not in df.columns]:
-            raise GranaryError("VALIDATION_ERROR", f'The table has no "{extra[0]}".', f"Fields: {', '.join(df.columns)}.")
-        new = new.select(*[(F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
-    return df.unionByName(new)
+    return df.unionByName(conformed(docs, df.schema) if isinstance(docs, DataFrame) else rows_of(df.sparkSession, docs, df.schema))
 
 
 def upsert_doc(spec: Mapping[str, Any] | None, update: Mapping[str, Any]) -> dict[str, Any]:

@@ -7,10 +7,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from .errors import GranaryError
 
 #: Columns that the engine keeps to itself.
-RESERVED = ("_metadata", "__granary_row")
+RESERVED = ("_metadata", "__granary_row", "__granary_wanted", "__granary_key", "__granary_kid", "__granary_place")
 
 
 def collection_name(name: str) -> str:
@@ -49,6 +52,22 @@ def document(doc: Mapping[str, Any], collection: str, rules: Sequence[Rule]) ->
     return {k: _value(v, k, collection, rules) for k, v in doc.items()}
 
 
+def columns(df: DataFrame, collection: str, rules: Sequence[Rule]) -> DataFrame:
+    """Rules apply to each value of the columns that they fit. They are Python functions, so there is a call for each value."""
+
+    def ruled(name: str) -> Column:
+        c, calls = F.col("`" + name.replace("`", "``") + "`"), [r.transform for r in rules if r.fits(name, collection)]
+
+        def run(value):
+            for call in calls:
+                value = call(value, name, collection)
+            return value
+
+        return F.udf(run, df.schema[name].dataType)(c).alias(name) if calls else c
+
+    return df.select(*map(ruled, df.columns))
+
+
 def update(change: Mapping[str, Any], collection: str, rules: Sequence[Rule]) -> dict[str, Any]:
     """Rules apply to what $set gives."""
     return {op: document(v, collection, rules) if op == "$set" and isinstance(v, Mapping) else v for op, v in change.items()}

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from datetime import date
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import GranaryError
@@ -65,6 +67,34 @@ class Field:
         return None
 
 
+    def takes(self, kind: T.DataType) -> bool:
+        """Whether a column's type fits."""
+        fits = {"string": T.StringType, "enum": T.StringType, "number": T.NumericType, "integer": T.IntegralType, "long": T.IntegralType, "boolean": T.BooleanType, "date": T.DateType | T.TimestampType | T.TimestampNTZType, "array": T.ArrayType, "object": T.StructType | T.MapType, "unknown": T.DataType}[self.kind]
+        return isinstance(kind, fits) or isinstance(kind, T.NullType)
+
+    def violation(self, c: Column, kind: T.DataType) -> Column:
+        """What is expected instead of a column's value, or null: ``problem`` for whole columns."""
+        if not self.takes(kind):
+            return F.lit(self.kind)
+        tests: list[tuple[Column, str]] = [(c.isNull(), self.kind)] if self.required else []
+        inner: list[Column] = []
+        if not isinstance(kind, T.NullType):
+            long = F.length(c) if isinstance(kind, T.StringType) else F.size(c) if isinstance(kind, T.ArrayType | T.MapType) else None
+            if self.values:
+                tests.append((~c.isin(*self.values), f"one of {', '.join(self.values)}"))
+            if self.most is not None and long is not None:
+                tests.append((long > self.most, f"at most {self.most} long"))
+            if self.least is not None and (long is not None or isinstance(kind, T.NumericType)):
+                tests.append(((c if long is None else long) < self.least, f"at least {self.least}"))
+            if self.kind == "array" and self.element:
+                tests.append((F.exists(c, lambda x: self.element.violation(x, kind.elementType).isNotNull()), "elements that fit"))
+            if isinstance(kind, T.StructType):
+                inner = [F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), f.violation(c.getField(k), kind[k].dataType)) if k in kind.names else F.lit(f"{k}: {f.kind}")) for k, f in self.fields.items() if k in kind.names or f.required]
+            if rule := self.rule:
+                tests.append((c.isNotNull() & ~F.udf(lambda v: bool(rule(v)), "boolean")(c), "a value that the field's rule accepts"))
+        return F.coalesce(*[F.when(t, F.lit(text)) for t, text in tests], *inner, F.lit(None).cast("string"))
+
+
 @dataclass(frozen=True)
 class Index:
     fields: Mapping[str, int]
@@ -97,6 +127,20 @@ class Collection:
         if found := self.problems(doc):
             raise GranaryError("VALIDATION_ERROR", " ".join(p["message"] for p in found), "Give each field a value of its type.", collection=self.name)
 
+    def check_rows(self, df: DataFrame) -> None:
+        """The same for the rows of a DataFrame, in one pass that ends with the first row that does not fit."""
+        if extra := [k for k in df.columns if k not in self.fields]:
+            raise GranaryError("VALIDATION_ERROR", f'"{extra[0]}" is not a field.', f"Fields: {', '.join(self.fields)}.", collection=self.name)
+        tests = []
+        for k, f in self.fields.items():
+            there = k in df.columns
+            if there or f.required:
+                expected = f.violation(F.col("`" + k.replace("`", "``") + "`"), df.schema[k].dataType) if there else F.lit(f.kind)
+                tests.append(F.concat(F.lit(f'"{k}" must be '), expected, F.lit(".")))
+        bad = df.select(F.coalesce(*tests).alias("bad")).where("bad IS NOT NULL").first() if tests else None
+        if bad:
+            raise GranaryError("VALIDATION_ERROR", bad[0], "Give each field a value of its type.", collection=self.name)
+
 
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
