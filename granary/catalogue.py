@@ -56,6 +56,21 @@ def lookup_unwind(s, d):
     return out.select("c_custkey", F.col("orders.o_orderkey").alias("o_orderkey"))
 
 
+def lookup_limit(s, d):
+    out = R.lookup(_table(s, d, "customer"), _table(s, d, "orders"), **_FIRST_BUILDING, **_TO_ORDERS, limit=3, unwind=True)
+    return out.select("c_custkey", F.col("orders.o_orderkey").alias("o_orderkey"))
+
+
+def lookup_many_limit(s, d):
+    out = R.lookup_many(_table(s, d, "customer"), _table(s, d, "orders"), match={"c_nationkey": {"$lt": 5}}, **_TO_ORDERS, limit=2, unwind=True)
+    return out.select("c_custkey", F.col("orders.o_orderkey").alias("o_orderkey"))
+
+
+def filter_date_time(s, d):
+    days = _table(s, d, "lineitem").select("l_orderkey", "l_partkey", F.to_date("l_shipdate").alias("day"))
+    return R.query(days, {"day": {"$gte": "1997-06-01T12:00:00", "$lt": "1997-07-01T12:00:00"}}, projection={"l_orderkey": 1, "l_partkey": 1})
+
+
 def lookup_many(s, d):
     out = R.lookup_many(_table(s, d, "customer"), _table(s, d, "orders"), match={"c_nationkey": {"$lt": 5}}, **_TO_ORDERS)
     return out.select("c_custkey", F.size("orders").cast("long").alias("n"))
@@ -97,6 +112,7 @@ _ALL = {
     "filter_regex_opt": (_read("part", {"p_name": {"$regex": "WIDGET", "$options": "i"}}, "p_partkey", "p_name"), "select p_partkey, p_name from part where regexp_matches(p_name, 'WIDGET', 'i')"),
     "filter_size": (lambda s, d: R.query(_table(s, d, "embeddings"), {"embedding": {"$size": 64}}).select("vec_id", F.size("embedding").alias("n")), "select vec_id, cast(len(embedding) as integer) as n from embeddings where len(embedding) = 64"),
     "filter_date": (_read("lineitem", {"l_shipdate": {"$gte": "1998-01-01T00:00:00"}}, "l_orderkey", "l_partkey", "l_shipdate"), "select l_orderkey, l_partkey, l_shipdate from lineitem where l_shipdate >= timestamp '1998-01-01'"),
+    "filter_date_time": (filter_date_time, "select l_orderkey, l_partkey from lineitem where cast(l_shipdate as date) >= timestamp '1997-06-01 12:00:00' and cast(l_shipdate as date) < timestamp '1997-07-01 12:00:00'"),
     "filter_type": (_count("customer", {"c_name": {"$type": "string"}, "c_custkey": {"$type": ["int", "long"]}}), 'select count(*) as "count" from customer where c_name is not null and c_custkey is not null'),
     "filter_mod": (_read("orders", {"o_orderkey": {"$mod": [7, 3]}}, "o_orderkey"), "select o_orderkey from orders where o_orderkey % 7 = 3"),
     "filter_bits": (_read("part", {"p_size": {"$bitsAllSet": 6}, "p_partkey": {"$bitsAnyClear": [0, 1]}}, "p_partkey", "p_size"), "select p_partkey, p_size from part where (p_size & 6) = 6 and (p_partkey & 3) <> 3"),
@@ -109,7 +125,7 @@ _ALL = {
     "null_not_document": (_nulls({"c_acctbal": {"$not": {"$gt": 0, "$lt": 5000}}}, "document", "c_custkey"), "with t as (select c_custkey, case when c_mktsegment = 'BUILDING' then null else c_acctbal end as b from customer) select c_custkey from t where not coalesce(b > 0 and b < 5000, false)"),
     "null_exists_false": (_nulls({"c_acctbal": {"$exists": False}}, "sql", "c_custkey"), "with t as (select c_custkey, case when c_mktsegment = 'BUILDING' then null else c_acctbal end as c_acctbal from customer) select c_custkey from t where c_acctbal is null"),
     "null_eq": (_nulls({"c_acctbal": None}, "sql", "c_custkey"), "select c_custkey from customer where c_mktsegment = 'BUILDING'"),
-    "null_sort": (_nulls({}, "sql", "c_custkey", "c_acctbal", sort={"c_acctbal": 1, "c_custkey": 1}, limit=1250), "with t as (select c_custkey, case when c_mktsegment = 'BUILDING' then null else c_acctbal end as c_acctbal from customer) select c_custkey, c_acctbal from t order by c_acctbal asc nulls last, c_custkey asc nulls last limit 1250"),
+    "null_sort": (_nulls({}, "sql", "c_custkey", "c_acctbal", sort={"c_acctbal": 1, "c_custkey": 1}), "with t as (select c_custkey, case when c_mktsegment = 'BUILDING' then null else c_acctbal end as c_acctbal from customer) select c_custkey, c_acctbal from t order by c_acctbal asc nulls last, c_custkey asc nulls last"),
     "project_exclude": (lambda s, d: R.query(_table(s, d, "documents"), {}, projection={"text": 0}), "select * exclude (text) from documents"),
     "topk_offset": (_read("orders", _FLAGSHIP, "o_orderkey", "o_totalprice", sort=_BEST_FIRST, skip=20, limit=50), "select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice >= 300000 order by o_totalprice desc nulls first, o_orderkey asc nulls last limit 50 offset 20"),
     "query_one": (_read("customer", {"c_mktsegment": "BUILDING"}, "c_custkey", "c_name", sort={"c_custkey": 1}, limit=1), "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 1"),
@@ -118,6 +134,8 @@ _ALL = {
     "lookup_left_empty": (lookup_left_empty, "select d.doc_id, count(l.doc_id) as n from documents d left join labels l using (doc_id) where d.doc_id = 2 group by d.doc_id"),
     "lookup_unwind": (lookup_unwind, "with m as (select * from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 1) select c_custkey, o_orderkey from m left join orders on c_custkey = o_custkey"),
     "lookup_many": (lookup_many, "select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey where c_nationkey < 5 group by c_custkey"),
+    "lookup_limit": (lookup_limit, "with m as (select * from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 1) select c_custkey, o_orderkey from m left join (select * from orders where o_custkey in (select c_custkey from m) order by o_orderkey limit 3) on c_custkey = o_custkey"),
+    "lookup_many_limit": (lookup_many_limit, "with k as (select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderkey) <= 2) select c_custkey, o_orderkey from customer left join k on c_custkey = o_custkey where c_nationkey < 5"),
     "update_set_inc": (_write("orders", lambda t: W.update_many(t, {"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "O"}, "$inc": {"o_totalprice": 10.5}}), "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "select o_orderkey, o_custkey, case when o_orderstatus = 'P' then 'O' else o_orderstatus end as o_orderstatus, case when o_orderstatus = 'P' then o_totalprice + 10.5::double else o_totalprice end as o_totalprice from orders"),
     "update_unset": (_write("customer", _without_building, "c_custkey", "c_acctbal"), "select c_custkey, case when c_mktsegment = 'BUILDING' then null else c_acctbal end as c_acctbal from customer"),
     "update_push": (_write("embeddings", lambda t: W.update_many(_tags(t), {"label": 2}, {"$push": {"tags": 99}}), "vec_id", "tags"), "select vec_id, case when label = 2 then list_append([label], 99) else [label] end as tags from embeddings"),

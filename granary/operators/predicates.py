@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, time
 from decimal import Decimal
 from functools import reduce
 from typing import Any
@@ -70,7 +70,8 @@ def literal(value: Any, kind: T.DataType, name: str) -> Column:
             raise refused("a date")
         if isinstance(value, datetime) and value.tzinfo and isinstance(kind, T.TimestampNTZType | T.DateType):
             value = value.astimezone(UTC).replace(tzinfo=None)
-        if isinstance(kind, T.TimestampNTZType):
+        # A time of day counts against dates too: they are compared as midnights.
+        if isinstance(kind, T.TimestampNTZType) or (isinstance(kind, T.DateType) and isinstance(value, datetime) and value.time() != time()):
             return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
         return F.lit(value).cast(kind) if isinstance(kind, T.DateType) or not isinstance(value, datetime) else F.lit(value)
     if isinstance(kind, T.BinaryType):

@@ -248,3 +248,98 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == R.count(events, spec).first()["count"]
 
 
+
+
+def _files(engine, name):
+    return {f.rsplit("/", 1)[1] for f in engine.table(name).inputFiles()}
+
+
+def test_writes_touch_few_files(db, spark):
+    before = _files(db, "users")
+    db.insert_one("users", {**BOB, "email": "c@x.org", "name": "Cid"})
+    assert before < _files(db, "users") and names(db) == ["Bob", "Cid", "Tim"]
+    for write in (lambda: db.update_one("users", {"name": "Cid"}, {"$inc": {"age": 1}}), lambda: db.delete_one("users", {"name": "Cid"})):
+        held = _files(db, "users")
+        (gone,) = {r[0] for r in db.table("users").where("name = 'Cid'").select("_metadata.file_name").collect()}
+        write()
+        assert held - _files(db, "users") == {gone} and len(_files(db, "users")) == len(held)
+    assert names(db) == ["Bob", "Tim"] and tuple(db.query_one("users", {"name": "Bob"}))[:3] == ("b@x.org", "Bob", 25)
+    db.compact("users")
+    assert names(db) == ["Bob", "Tim"]
+
+
+def test_tables_from_elsewhere_keep_their_folders_values(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, part string").write.partitionBy("part").parquet(str(tmp_path / "in"))
+    db = Engine(spark, str(tmp_path / "a db"))
+    db.bind(t=str(tmp_path / "in"))
+    db.insert_one("t", {"id": 4, "part": "c"})
+    db.update_one("t", {"part": "b"}, {"$set": {"id": 9}}, order_by={"id": 1})
+    db.bind(u=str(tmp_path / "in"))
+    db.delete_one("u", {"id": 2})
+    assert sorted(map(tuple, db.table("t").collect())) == [(1, "a"), (3, "b"), (4, "c"), (9, "b")]
+    assert sorted(map(tuple, db.table("u").collect())) == [(1, "a"), (3, "b")] and spark.read.parquet(str(tmp_path / "in")).count() == 3
+
+
+def test_unique_holds_for_updates(db):
+    for write in (lambda: db.update_many("users", {"age": {"$gt": 0}}, {"$set": {"email": "same@x.org"}}), lambda: db.update_one("users", {"name": "Bob"}, {"$set": {"email": "t@x.org"}}), lambda: db.update_one("users", {"email": "n@x.org"}, {"$set": {"email": "t@x.org", "name": "N", "role": "mod"}}, upsert=True)):
+        with pytest.raises(GranaryError) as e:
+            write()
+        assert e.value.code == "DUPLICATE_KEY"
+    assert db.update_one("users", {"name": "Bob"}, {"$set": {"email": "b@x.org"}}).modified == 1
+    assert db.update_many("users", {"name": "Bob"}, {"$set": {"email": "new@x.org"}}).modified == 1
+    assert db.ensure_indexes()
+    db.register_index("users", Index({"active_role": 1}))
+    db.insert_one("users", {**BOB, "email": "d@x.org"})
+    db.register_index("users", Index({"name": 1}, unique=True))
+    with pytest.raises(GranaryError) as e:
+        db.ensure_indexes()
+    assert e.value.code == "DUPLICATE_KEY" and db.ensure_indexes(dry_run=True)
+
+
+def test_rows_of_a_frame_are_under_the_same_rules(db, spark, tmp_path):
+    kinds = "email string, name string, age int, role string, tags array<string>"
+    for row in (("e@x.org", "E", 1, "boss", None), (None, "E", 1, "mod", None), ("e" * 300, "E", 1, "mod", None), ("e@x.org", "E", 1, "mod", [None])):
+        with pytest.raises(GranaryError) as e:
+            db.insert_many("users", spark.createDataFrame([row], kinds))
+        assert e.value.code == "VALIDATION_ERROR", row
+    for df in (spark.createDataFrame([("e@x.org",)], "email string"), spark.createDataFrame([("e@x.org", "E", "old", "mod")], "email string, name string, age string, role string"), spark.createDataFrame([("e@x.org", "E", "mod", 1)], "email string, name string, role string, extra int")):
+        with pytest.raises(GranaryError) as e:
+            db.insert_many("users", df)
+        assert e.value.code == "VALIDATION_ERROR"
+    assert db.insert_many("users", spark.createDataFrame([("e@x.org", "E", 1, "mod", ["x"]), ("f@x.org", "F", None, "user", None)], kinds)).inserted == 2
+    with pytest.raises(GranaryError) as e:
+        db.insert_many("users", spark.createDataFrame([("t@x.org", "T", 1, "mod", [])], kinds))
+    assert e.value.code == "DUPLICATE_KEY" and db.count("users") == 4
+    now = datetime(2025, 6, 1, tzinfo=UTC)
+    notes = Engine(spark, str(tmp_path / "notes"), validate=True, timestamps=Timestamps(now=lambda: now), rules=[Rule(lambda v, f, c: v.strip() if isinstance(v, str) else v)])
+    notes.register_collection(Collection("notes", {"id": Field("integer"), "text": Field(rule=lambda v: v != "no"), "created_at": Field("date"), "updated_at": Field("date")}))
+    notes.ensure_collections()
+    notes.insert_many("notes", spark.createDataFrame([(1, "  hi ")], "id int, text string"))
+    got = notes.query_one("notes", {"id": 1})
+    assert got["text"] == "hi" and got["created_at"] == got["updated_at"] and got["created_at"] is not None
+    with pytest.raises(GranaryError):
+        notes.insert_many("notes", spark.createDataFrame([(2, " no ")], "id int, text string"))
+
+
+def test_lookup_of_one_parent_and_maps(spark):
+    parents = spark.range(0, 400, 1, 8).selectExpr("id", "id % 2 as k", "'p' as kids_of", "id as f0")
+    kids = spark.createDataFrame([(0, {"a": 2}), (0, {"a": 1}), (1, {"b": 1}), (0, None)], "k int, m map<string,int>")
+    args = {"local": "k", "foreign": "k", "to": "kids"}
+    for _ in range(3):
+        got = R.lookup(parents, kids, match={}, **args).first()
+        assert got["f0"] == got["id"] and all(c["k"] == got["id"] % 2 for c in got["kids"])
+    got = R.lookup(parents, kids, match={"id": 0}, limit=2, **args).first()["kids"]
+    assert [c["m"] for c in got] == [None, {"a": 1}] or [c["m"] for c in got] == [{"a": 1}, {"a": 2}]
+    many = R.lookup_many(parents, kids, match={"id": {"$lt": 2}}, limit=1, **args).collect()
+    assert {r["id"]: len(r["kids"]) for r in many} == {0: 1, 1: 1}
+    assert R.lookup_many(parents, kids, match={"id": {"$lt": 2}}, unwind=True, **args).count() == 4
+    assert R.lookup(parents, kids, match={"id": 0}, limit=0, **args).first()["kids"] == []
+    plan = R.lookup(parents, kids, match={}, **args)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_times_of_day_against_dates(spark):
+    df = spark.sql("select date '2025-06-01' as d")
+    for op, n in (("$lt", 1), ("$lte", 1), ("$gt", 0), ("$gte", 0), ("$eq", 0), ("$ne", 1)):
+        assert R.query(df, {"d": {op: "2025-06-01T12:00:00"}}).count() == n, op
+    assert R.query(df, {"d": "2025-06-01"}).count() == R.query(df, {"d": {"$in": ["2025-06-01T00:00:00", "2025-06-02T01:00:00"]}}).count() == 1
