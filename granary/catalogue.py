@@ -113,6 +113,7 @@ _ALL = {
     "filter_size": (lambda s, d: R.query(_table(s, d, "embeddings"), {"embedding": {"$size": 64}}).select("vec_id", F.size("embedding").alias("n")), "select vec_id, cast(len(embedding) as integer) as n from embeddings where len(embedding) = 64"),
     "filter_date": (_read("lineitem", {"l_shipdate": {"$gte": "1998-01-01T00:00:00"}}, "l_orderkey", "l_partkey", "l_shipdate"), "select l_orderkey, l_partkey, l_shipdate from lineitem where l_shipdate >= timestamp '1998-01-01'"),
     "filter_date_time": (filter_date_time, "select l_orderkey, l_partkey from lineitem where cast(l_shipdate as date) >= timestamp '1997-06-01 12:00:00' and cast(l_shipdate as date) < timestamp '1997-07-01 12:00:00'"),
+    "filter_expr": (_read("lineitem", {"$expr": {"$gt": ["$l_partkey", "$l_orderkey"]}, "l_quantity": {"$lt": 5}}, "l_orderkey", "l_partkey"), "select l_orderkey, l_partkey from lineitem where l_partkey > l_orderkey and l_quantity < 5"),
     "filter_type": (_count("customer", {"c_name": {"$type": "string"}, "c_custkey": {"$type": ["int", "long"]}}), 'select count(*) as "count" from customer where c_name is not null and c_custkey is not null'),
     "filter_mod": (_read("orders", {"o_orderkey": {"$mod": [7, 3]}}, "o_orderkey"), "select o_orderkey from orders where o_orderkey % 7 = 3"),
     "filter_bits": (_read("part", {"p_size": {"$bitsAllSet": 6}, "p_partkey": {"$bitsAnyClear": [0, 1]}}, "p_partkey", "p_size"), "select p_partkey, p_size from part where (p_size & 6) = 6 and (p_partkey & 3) <> 3"),

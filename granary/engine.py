@@ -19,6 +19,7 @@ from .operators import reads, writes
 from .operators.predicates import holds
 from .plans import filters, render
 from .schema import Collection, Index, create_index, create_table, described, example, search_mapping
+from .sources.retry import Retry
 from .sources.store import Store
 from .sources.uri import detect, redacted
 from .timestamps import Timestamps
@@ -39,6 +40,9 @@ class Config:
     slow_ms: float = SLOW_MS
     timestamps: Timestamps | None = None
     pool: str = "standard"
+    #: Of tables read by JDBC, the number or date that splits the read: {table: (column, least, most)}.
+    splits: Mapping[str, tuple[str, Any, Any]] | None = None
+    retry: Retry = Retry()
 
 
 OPERATIONS = ("insert_one", "insert_many", "update_one", "update_many", "delete_one", "delete_many")
@@ -92,9 +96,11 @@ class Engine:
     def raw(self) -> SparkSession:
         return self.spark
 
-    def execute(self, statement: str, **params: Any) -> DataFrame:
-        """A statement of SQL with named parameters."""
-        return self.spark.sql(statement, args=params or None)
+    def execute(self, statement: str, *values: Any, **params: Any) -> DataFrame:
+        """A statement of SQL with values for its question marks, or else with named parameters."""
+        if values and params:
+            raise GranaryError("QUERY_ERROR", "The statement has values by position and by name.", "Use one kind.")
+        return self.spark.sql(statement, args=list(values) or params or None)
 
     # ---- tables ----
 
@@ -116,7 +122,8 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         sanitize.collection_name(name)
         if self.store is None:
-            return self.spark.read.format(self.address.format).options(**self.address.options(name, self.config.pool)).load()
+            options = self.address.options(name, self.config.pool, (self.config.splits or {}).get(name))
+            return self.config.retry.run(lambda: self.spark.read.format(self.address.format).options(**options).load(), self.events)
         return self.store.read(name, self._tables())
 
     @contextmanager

@@ -39,7 +39,7 @@ _VERBS = {
 }
 #: Words that tell of one row, and options of reads.
 _ONE, _OPTIONS = ("one", "first", "single"), ("sort", "limit", "skip", "projection")
-OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$regex", "$options", "$not", "$size", "$type", "$all", "$elemMatch", "$mod", "$bitsAllSet", "$bitsAnySet", "$bitsAllClear", "$bitsAnyClear", "$and", "$or", "$nor")
+OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$regex", "$options", "$not", "$size", "$type", "$all", "$elemMatch", "$mod", "$bitsAllSet", "$bitsAnySet", "$bitsAllClear", "$bitsAnyClear", "$and", "$or", "$nor", "$expr")
 
 
 class GranaryError(Exception):

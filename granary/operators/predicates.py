@@ -123,12 +123,18 @@ class Compiler:
         c, kind = resolve(node.field, self.schema)
         return self.test(c, kind, node)
 
+    def _other(self, ref: P.Ref, kind: T.DataType, name: str) -> Column:
+        c, other = resolve(ref.field, self.schema)
+        if type(kind) is not type(other) and not all(isinstance(k, T.NumericType) for k in (kind, other)) and not all(isinstance(k, T.DateType | T.TimestampType | T.TimestampNTZType) for k in (kind, other)):
+            raise GranaryError("QUERY_ERROR", f'"{name}" is {kind.simpleString()}, "{ref.field}" is {other.simpleString()}.', "Compare fields of one kind.")
+        return c
+
     def test(self, c: Column, kind: T.DataType, node: P.Test) -> Column:
         op, value, name = node.op, node.value, node.field
         if op == "exists":
             return c.isNotNull() if value else c.isNull()
         if op in _COMPARE:
-            right = literal(value, kind, name)
+            right = self._other(value, kind, name) if isinstance(value, P.Ref) else literal(value, kind, name)
             if op == "ne" and self.document:
                 return ~c.eqNullSafe(right)
             return getattr(c, _COMPARE[op])(right)

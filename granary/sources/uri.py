@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from ..errors import GranaryError
 
@@ -20,12 +21,18 @@ class Address:
     uri: str
     dialect: str = "spark"
 
-    def options(self, table: str, pool: str = "standard") -> dict[str, str]:
-        """Options of the reader for one table."""
+    def options(self, table: str, pool: str = "standard", split: tuple[str, Any, Any] | None = None) -> dict[str, str]:
+        """Options of the reader for one table.
+
+        With ``split``, a column and its least and most value, JDBC reads in as
+        many ranges as the pool has connections; without, one task reads all.
+        """
         if self.kind == "jdbc":
             rest = self.uri.split("://", 1)[-1]
             name = {"pg": "postgresql", "mssql": "sqlserver"}.get(self.dialect, self.dialect)
-            return {"url": f"jdbc:{name}:{'' if self.dialect == 'sqlite' else '//'}{rest}", "dbtable": table, "driver": DRIVERS[self.dialect], "numPartitions": str(POOLS[pool][0])}
+            return {"url": f"jdbc:{name}:{'' if self.dialect == 'sqlite' else '//'}{rest}", "dbtable": table, "driver": DRIVERS[self.dialect], "numPartitions": str(POOLS[pool][0])} | (
+                {"partitionColumn": split[0], "lowerBound": str(split[1]), "upperBound": str(split[2])} if split else {}
+            )
         if self.kind == "document":
             return {"connection.uri": self.uri, "collection": table}
         return {"es.nodes": self.uri, "es.resource": table}

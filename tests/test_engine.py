@@ -343,3 +343,49 @@ def test_times_of_day_against_dates(spark):
     for op, n in (("$lt", 1), ("$lte", 1), ("$gt", 0), ("$gte", 0), ("$eq", 0), ("$ne", 1)):
         assert R.query(df, {"d": {op: "2025-06-01T12:00:00"}}).count() == n, op
     assert R.query(df, {"d": "2025-06-01"}).count() == R.query(df, {"d": {"$in": ["2025-06-01T00:00:00", "2025-06-02T01:00:00"]}}).count() == 1
+
+
+def test_fields_against_fields(spark):
+    from granary.plans import render
+
+    df = spark.createDataFrame([(1, 2, "x"), (2, 2, "y"), (3, 2, "z"), (None, 2, "n")], "a int, b long, s string")
+    for op, n in (("$gt", 1), ("$gte", 2), ("$lt", 1), ("$lte", 2), ("$eq", 1), ("$ne", 2)):
+        assert R.count(df, {"$expr": {op: ["$a", "$b"]}}).first()["count"] == n, op
+    assert R.count(df, {"$expr": {"$lt": [2, "$a"]}}).first()["count"] == 1
+    assert R.count(df, {"$expr": {"$ne": ["$a", "$b"]}}, "document").first()["count"] == 3
+    assert R.count(df, {"$nor": [{"$expr": {"$gt": ["$a", "$b"]}}]}).first()["count"] == 2
+    assert render.select("t", {"$expr": {"$gt": ["$a", "$b"]}})[0].endswith('WHERE "a" > "b"')
+    for bad in ({}, {"$gt": ["$a"]}, {"$gt": [1, 2]}, {"$gt": ["$a", None]}, {"$gt": ["$a", "$s"]}, {"$gt": ["$a", "$nope"]}, {"$add": ["$a", "$b"]}):
+        with pytest.raises(GranaryError):
+            R.query(df, {"$expr": bad})
+
+
+def test_retries_splits_and_values_by_position(spark, tmp_path):
+    from granary.events import Events
+    from granary.sources.retry import Retry
+
+    events, told, waits, left = Events(), [], [], [3]
+    events.on("reconnecting", lambda e: told.append(e["attempt"]))
+    events.on("reconnected", lambda e: told.append("back"))
+
+    def opens():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise RuntimeError("connection refused")
+        return "open"
+
+    policy = Retry(tries=3, first_s=1, most_s=3, sleep=waits.append)
+    assert policy.run(opens, events) == "open" and told == [1, 2, 3, "back"]
+    assert all(w <= most for w, most in zip(waits, (1, 2, 3), strict=True)) and min(waits) >= 0.5
+    left[0] = 9
+    with pytest.raises(RuntimeError):
+        policy.run(opens, events)
+    assert left[0] == 5
+    with pytest.raises(ZeroDivisionError):
+        policy.run(lambda: 1 / 0, events)
+    options = detect("postgres://h/d").options("t", "low", ("id", 1, 100))
+    assert (options["partitionColumn"], options["lowerBound"], options["upperBound"], options["numPartitions"]) == ("id", "1", "100", "5")
+    db = Engine(spark, str(tmp_path / "db"))
+    assert db.execute("select ? + ? as x", 1, 2).first()["x"] == 3
+    with pytest.raises(GranaryError):
+        db.execute("select ? + :n", 1, n=2)
