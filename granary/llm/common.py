@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a folder below /tmp stands in.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and
+    driver and executors are one machine, as in tests, a folder below /tmp
+    stands in; on a cluster each machine would have its own, so that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     return (where or "file:///tmp/checkpoints").rstrip("/")
 
 

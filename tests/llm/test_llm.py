@@ -626,3 +626,16 @@ def test_components_do_not_stop_early(spark):
     with pytest.raises(RuntimeError):
         components.components(links, rounds=1)
     assert {r["component"] for r in components.components(links).collect()} == {0}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from granary.llm.common import shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert shared_dir(Session(spark_master="local[4]")) == "file:///tmp/checkpoints"
+    assert shared_dir(Session(spark_master="spark://h:7077", spark_checkpoint_dir="hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError):
+        shared_dir(Session(spark_master="spark://h:7077"))
