@@ -1,9 +1,10 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A context is the word before; its restaurant serves the words that follow it. A
-word that comes before more tokens than a bucket's share has several contexts,
-by a class of the word before it, so that no context outgrows a task. For a new
-table a context's restaurant sends a customer to the corpus's, the parent that
+A context is the word before; its restaurant serves the words that follow it,
+at any size of the input. A restaurant that would outgrow a task is dealt out,
+by the words that it serves, among several buckets; its customers and tables
+are added up over all of them, so its numbers are those of a whole one. For a
+new table a context's restaurant sends a customer to the corpus's, the parent that
 all contexts share; below that lies one base: equal shares for all words of the
 training documents and one more for any other word.
 
@@ -24,7 +25,7 @@ buckets, and its words to others, and gets numbers back in the order sent.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from .shingles import flat, mixed, word_hashes
 END = np.uint64(1)
 #: Tokens of a stretch and for each bucket of contexts; words sent for each bucket of words; texts that are read at once.
 STRETCH, BUCKET, WORDS, MOST_ROOTS, TEXTS = 1_200_000, 1_200_000, 2_000_000, 2048, 256
-#: A context with more than this part of a bucket's tokens is split.
-SHARE = 0.25
+#: A context with more than this part of a bucket's tokens is dealt out. The tables of such contexts are sent to this bucket.
+SHARE, WHOLE = 0.25, -1
 #: Strengths of the contexts' restaurants and of the corpus's, and the sweeps that are averaged.
 STRENGTH, ROOT_STRENGTH, SWEEPS = 2.0, 1.0, 2
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -106,31 +107,78 @@ class Root:
         return (stay + (ROOT_STRENGTH + self.discount * self.tables) / (self.words + 1)) / (ROOT_STRENGTH + self.customers)
 
 
+def _none() -> np.ndarray:
+    return np.empty(0, np.int64)
+
+
+@dataclass
+class Split:
+    """Contexts that are dealt out, by their words in order: parts, customers and, after each sweep, tables of them as wholes."""
+
+    words: np.ndarray
+    parts: np.ndarray
+    customers: np.ndarray
+    tables: list[np.ndarray] = field(default_factory=list)
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all parts, in order, and the context of each by number."""
+        of = np.repeat(np.arange(len(self.words)), self.parts)
+        hashes = _head(self.words[of], np.arange(len(of)) - (np.cumsum(self.parts) - self.parts)[of])
+        order = np.argsort(hashes)
+        return hashes[order], of[order]
+
+
+def _head(words: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return mixed(words + part.astype(np.uint64) * _M)
+
+
+def _found(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of those values that are among the sorted ones, and where they are there."""
+    at = np.searchsorted(sorted_, values)
+    here = np.flatnonzero(np.append(sorted_, sorted_[-1:])[at] == values) if len(sorted_) else _none()
+    return here, at[here]
+
+
 @dataclass
 class Contexts:
-    """A bucket's pairs in order of context and word: hashes, each pair's context and word by number, and its count."""
+    """A bucket's pairs in order of context and word: hashes, each pair's context and word by number, and its count.
+
+    Of contexts that are parts: their numbers, that of the whole, its customers and its tables after each sweep.
+    """
 
     contexts: np.ndarray
     words: np.ndarray
     context: np.ndarray
     word: np.ndarray
     count: np.ndarray
+    part: np.ndarray = field(default_factory=_none)
+    whole: np.ndarray = field(default_factory=_none)
+    customers: np.ndarray = field(default_factory=_none)
+    tables: list[np.ndarray] = field(default_factory=list)
+
+    def _of(self, tables: np.ndarray, sweep: int) -> np.ndarray:
+        """Tables by context; a part has its own ones alone as long as the whole's are not known."""
+        of = np.bincount(self.context, tables, len(self.contexts))
+        if sweep < len(self.tables):
+            of[self.part] = self.tables[sweep]
+        return of
 
     def sweeps(self, parents: list[np.ndarray], discount: float, strength: float = STRENGTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Each sweep's tables by pair and by context; ``parents`` has the words' probabilities before each but the first."""
         tables = (self.count > 0).astype(float)
-        of = np.bincount(self.context, tables, len(self.contexts))
+        of = self._of(tables, 0)
         yield tables, of
         seeds = mixed(self.contexts[self.context] * _M ^ self.words[self.word])
         for j, p in enumerate(parents, 1):
             pull = (strength + discount * of[self.context]) * p[self.word]
             tables = seated(self.count, pull, discount, seeds + np.uint64((j * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF))
-            of = np.bincount(self.context, tables, len(self.contexts))
+            of = self._of(tables, j)
             yield tables, of
 
     def predictive(self, parents: list[np.ndarray], discount: float, strength: float = STRENGTH) -> np.ndarray:
         """Each pair's probability of the word after the context, averaged over the sweeps after the first."""
         customers = np.bincount(self.context, self.count, len(self.contexts))
+        customers[self.part] = self.customers
         total = np.zeros(len(self.count))
         for j, (tables, of) in enumerate(self.sweeps(parents[:-1], discount, strength)):
             if j:
@@ -247,22 +295,17 @@ class Pairs:
     which: np.ndarray
 
 
-def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray, split: dict[int, int], buckets: int) -> Pairs:
-    """``split`` has the words, by hash, that have so many contexts."""
+def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray, split: Split, buckets: int) -> Pairs:
+    """The pairs of a context that is dealt out are so by the word after."""
     end = np.flatnonzero(words == END)[0]
     before = np.r_[end, ids[:-1]]  # documents end with the end
-    code = before
-    if split:
-        hashes = np.fromiter(split, np.uint64, len(split))
-        order = np.argsort(hashes)
-        hashes, parts = hashes[order], np.fromiter(split.values(), np.int64, len(split))[order]
-        at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-        n = np.where(hashes[at] == words, parts[at], 1)[before]
-        earlier = words[np.r_[end, before[:-1]]]
-        code = before + len(words) * np.where(n > 1, (mixed(earlier) >> np.uint64(20)).astype(np.int64) % n, 0)
+    parts = np.ones(len(words), np.int64)
+    here, at = _found(split.words, words)
+    parts[here] = split.parts[at]
+    code = before + len(words) * ((mixed(words) >> np.uint64(20)).astype(np.int64)[ids] % parts[before])
     codes, context = np.unique(code, return_inverse=True)
     kind, word = codes // len(words), words[codes % len(words)]
-    hashes = mixed(word + kind.astype(np.uint64) * _M)
+    hashes = _head(word, kind)
     order = np.argsort(hashes, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
@@ -293,7 +336,7 @@ def _sent(sender: int, words: np.ndarray, numbers: np.ndarray, parts: int) -> pa
 
 
 _SENT = "bucket long, sender long, words binary, numbers binary"
-#: Answers have a sender; a bucket's own row has none, but its totals, and words that are frequent with their counts.
+#: Answers have a sender; a bucket's own row has none, but its totals, and words that are frequent with their counts; WHOLE has contexts with their tables.
 _SUMMED = "bucket long, sender long, values binary, totals array<double>, often array<bigint>, counts array<bigint>"
 
 
@@ -310,6 +353,9 @@ def _summing(answer: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[f
             each = [np.frombuffer(r["words"], np.uint64) for r in rows]
             words, which = np.unique(np.concatenate(each), return_inverse=True)
             sums = np.bincount(which, np.concatenate([_unpack(r["numbers"], WIDE) for r in rows]), len(words))
+            if bucket == WHOLE:
+                yield told(bucket, None, None, None, words.view(np.int64), sums.astype(np.int64))
+                continue
             values, totals = answer(words, sums)
             lo = 0
             for r, own in zip(rows, each, strict=True):
@@ -390,10 +436,15 @@ def _gathering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _contexts(row: dict) -> Contexts:
-    heads = np.frombuffer(row["contexts"].as_py(), np.uint64)
+def _contexts(row: dict, split: Split) -> Contexts:
+    heads = np.frombuffer(row["contexts"].as_py(), np.uint64).copy()
     sizes = _unpack(row["sizes"].as_py())
-    return Contexts(heads, _words(row), np.repeat(np.arange(len(heads)), sizes), _unpack(row["ids"].as_py()), _unpack(row["counts"].as_py(), WIDE).astype(float))
+    hashes, of = split.heads()
+    part, at = _found(hashes, heads)
+    whole = of[at]
+    heads[part] = mixed(split.words[whole])
+    pairs = np.repeat(np.arange(len(heads)), sizes), _unpack(row["ids"].as_py()), _unpack(row["counts"].as_py(), WIDE).astype(float)
+    return Contexts(heads, _words(row), *pairs, part, whole, split.customers[whole], [t[whole] for t in split.tables])
 
 
 def _parents(row: dict, roots: list[Root]) -> list[np.ndarray]:
@@ -406,11 +457,14 @@ def _sweeping(shared, parts: int):
     """Sends each word's tables in the bucket's contexts, after as many sweeps as there are probabilities."""
 
     def sweep(batches: Iterator[pa.RecordBatch]):
-        roots, discount = shared.value
+        roots, discount, split = shared.value
         for row in _records(batches):
-            model = _contexts(row)
-            *_, (tables, _) = model.sweeps(_parents(row, roots), discount)
-            yield _sent(row["bucket"].as_py(), model.words, np.bincount(model.word, tables, len(model.words)), parts)
+            model, bucket = _contexts(row, split), row["bucket"].as_py()
+            *_, (tables, of) = model.sweeps(_parents(row, roots), discount)
+            yield _sent(bucket, model.words, np.bincount(model.word, tables, len(model.words)), parts)
+            if len(model.part):
+                own = {"words": split.words[model.whole].tobytes(), "numbers": _pack(of[model.part], WIDE)}
+                yield pa.record_batch({"bucket": pa.array([WHOLE], pa.int64()), "sender": pa.array([bucket], pa.int64()), **{c: pa.array([v], pa.binary()) for c, v in own.items()}})
         give_back()
 
     return sweep
@@ -420,9 +474,9 @@ def _predicting(shared):
     """For each stretch the log10 probabilities of the pairs that it sent."""
 
     def predict(batches: Iterator[pa.RecordBatch]):
-        roots, discount = shared.value
+        roots, discount, split = shared.value
         for row in _records(batches):
-            logs = np.log10(_contexts(row).predictive(_parents(row, roots), discount)).astype("<f4")
+            logs = np.log10(_contexts(row, split).predictive(_parents(row, roots), discount)).astype("<f4")
             steps, lo = _unpack(row["places"].as_py()), 0
             for sender, long in zip(row["senders"].as_py(), row["lengths"].as_py(), strict=True):
                 yield pa.record_batch({"stretch": pa.array([sender], pa.int64()), "bucket": pa.array([row["bucket"].as_py()], pa.int64()), "values": pa.array([logs[np.cumsum(steps[lo : lo + long])].tobytes()], pa.binary())})
@@ -477,14 +531,18 @@ def scored(docs: DataFrame, fold: tuple[int, int] = (10, 0), sweeps: int = SWEEP
     roots = min(MOST_ROOTS, max(1, -(-(tally["words"] or 0) // (8 * WORDS))))
 
     most = max(1.0, SHARE * every / buckets)
-    known = stored(_by(parts.select("stretch", "words", "counts").mapInArrow(_word_cells(roots), _SENT), "bucket", roots, "sender").mapInArrow(_summing(_counting, most if buckets > 1 else np.inf), _SUMMED), "known")
+    known = stored(_by(parts.select("stretch", "words", "counts").mapInArrow(_word_cells(roots), _SENT), "bucket", roots, "sender").mapInArrow(_summing(_counting, most), _SUMMED), "known")
     own = known.where("sender IS NULL")
     tokens, distinct, ones, twos = (float(x or 0) for x in own.select([F.sum(F.col("totals")[i]) for i in range(4)]).first())
     # No more than 1 / SHARE words for each bucket are so frequent.
     hot = own.select(F.explode(F.arrays_zip("often", "counts")).alias("w")).select("w.*").collect()
-    split = spark.sparkContext.broadcast({r["often"] & 0xFFFFFFFFFFFFFFFF: int(-(-r["counts"] // most)) for r in hot})
+    hot = sorted((r["often"] & 0xFFFFFFFFFFFFFFFF, r["counts"]) for r in hot)
+    # Each time that a word to learn from occurs, one token follows it, an end the first word of another document.
+    customers = np.array([n for _, n in hot], float)
+    split = Split(np.array([w for w, _ in hot], np.uint64), np.ceil(customers / most).astype(np.int64), customers)
+    dealt = spark.sparkContext.broadcast(split)
 
-    cells = parts.select("stretch", "held", "lengths", "ids", "words").mapInArrow(_context_cells(split, buckets), _CELL)
+    cells = parts.select("stretch", "held", "lengths", "ids", "words").mapInArrow(_context_cells(dealt, buckets), _CELL)
     contexts = stored(_by(cells, "bucket", buckets, "sender").mapInArrow(_gathering, _BUCKET), "contexts")
     few = contexts.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     discount = discount_of(few["ones"] or 0, few["twos"] or 0)
@@ -504,21 +562,24 @@ def scored(docs: DataFrame, fold: tuple[int, int] = (10, 0), sweeps: int = SWEEP
     pairs = ["bucket", "contexts", "sizes", "words", "ids", "counts"]
     for j in range(sweeps + 1):
         before = Root(int(distinct), 0.0, state[-1].tables if state else distinct, discount_of(ones, twos))
-        sent = with_answers(pairs).mapInArrow(_sweeping(spark.sparkContext.broadcast((list(state), discount)), roots), _SENT)
+        sent = with_answers(pairs).mapInArrow(_sweeping(spark.sparkContext.broadcast((list(state), discount, split)), roots), _SENT)
         found = stored(_by(sent, "bucket", roots, "sender").mapInArrow(_summing(_seating(before, j)), _SUMMED), f"sweep-{j}")
-        customers, tables = (float(x or 0) for x in found.where("sender IS NULL").select([F.sum(F.col("totals")[i]) for i in range(2)]).first())
+        told = found.where("sender IS NULL").select("totals", "often", "counts").collect()
+        customers, tables = (float(sum(r["totals"][i] for r in told if r["totals"] is not None)) for i in range(2))
+        wholes = {w & 0xFFFFFFFFFFFFFFFF: n for r in told if r["totals"] is None for w, n in zip(r["often"], r["counts"], strict=True)}
+        split = replace(split, tables=[*split.tables, np.array([wholes[w] for w in split.words.tolist()], float)])
         state.append(Root(before.words, customers, tables, before.discount))
         kept.append(found)
         answers.append(found.where("sender IS NOT NULL").select("sender", "bucket", F.lit(j).alias("sweep"), "values"))
 
-    last = spark.sparkContext.broadcast((list(state), discount))
+    last = spark.sparkContext.broadcast((list(state), discount, split))
     logs = stored(with_answers([*pairs, "senders", "lengths", "places"]).mapInArrow(_predicting(last), "stretch long, bucket long, values binary"), "logs")
     release(*kept)
     numbers = known.where("sender IS NOT NULL").select(F.col("sender").alias("stretch"), F.lit("known").alias("what"), "bucket", "values").union(logs.select("stretch", F.lit("logs").alias("what"), "bucket", "values"))
     one = F.struct("bucket", "values")
     numbers = numbers.groupBy("stretch").agg(*[F.collect_list(F.when(F.col("what") == w, one)).alias(w) for w in ("known", "logs")])
     found = parts.select("stretch", "docs", "held", "lengths", "ids", "words").join(numbers, "stretch")
-    return found.mapInArrow(_scoring(split, buckets, int(tokens), int(distinct)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return found.mapInArrow(_scoring(dealt, buckets, int(tokens), int(distinct)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scores: DataFrame, held_out: bool = True, column: str = "score") -> float:

@@ -456,6 +456,18 @@ def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
     assert np.allclose(one.score, many.score, rtol=1e-6) and (one.n_known == many.n_known).all()
 
 
+def test_scores_do_not_depend_on_the_size_of_buckets(spark, monkeypatch):
+    """One bucket or many: a context that is dealt out among several has the numbers of a whole one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(100)
+    found = []
+    for bucket, share in ((10**9, 1.0), (9_000, 0.05)):
+        monkeypatch.setattr(scoring, "BUCKET", bucket)
+        monkeypatch.setattr(scoring, "SHARE", share)
+        found.append(scoring.scored(docs).toPandas().set_index("doc_id").sort_index())
+    one, many = found
+    assert np.allclose(one.score, many.score, rtol=1e-9) and (one.n_known == many.n_known).all()
+
+
 def test_contexts_of_text_ids(spark):
     docs = spark.createDataFrame([("a", "one two three"), ("b", None), (None, "one two")], "doc_id string, text string")
     assert {(r["doc_id"], r["n_tokens"]) for r in scoring.scored(docs).collect()} == {("a", 4), ("b", 1), (None, 3)}
