@@ -242,19 +242,16 @@ class _Bitmaps:
 
 
 class _Before:
-    """Which rows' documents share a key that comes before the rows' own: single tokens first, in order, then pairs.
+    """Which rows' documents share a key that comes before the rows' own, by rank: single tokens first, in order, then pairs.
 
     The first key that two documents share tells of them, where places bound the
     overlap: what they share is not before it.
     """
 
-    def __init__(self, lists: pa.ListArray, own: np.ndarray, pairs: np.ndarray):
-        at = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.slice(at[0], at[-1] - at[0])
-        key, pair = values.field("key").to_numpy(zero_copy_only=False).view(np.uint64), values.field("pair").to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(own)), np.diff(at))
-        less = (pair < pairs[row]) | ((pair == pairs[row]) & (key < own[row]))
-        self.key, row = mixed(key[less] + pair[less]), row[less]
+    def __init__(self, lists: pa.Array, own: np.ndarray):
+        rank, row = _ranks(lists)
+        less = rank < own[row]
+        self.key, row = mixed(rank[less].astype(np.uint64)), row[less]
         self.first = np.searchsorted(row, np.arange(len(own) + 1))
         self.all = np.sort(self._of(self.key, row))
 
@@ -276,19 +273,59 @@ class _Before:
         return out
 
 
+def _steps(lists: list[np.ndarray]) -> pa.Array:
+    """Ranks in order, each as the step from the one before, seven bits to a byte, of which all but a step's last are marked."""
+    long = np.array([len(x) for x in lists])
+    values = np.concatenate([*(np.diff(x, prepend=0) for x in lists), np.empty(0, np.int64)])
+    size = 1 + sum((values >> (7 * k) > 0).astype(np.int64) for k in range(1, 9))
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[at[some] + k] = (values[some] >> (7 * k)) & 127 | np.where(size[some] > k + 1, 128, 0)
+    ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(long)]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
+def _ranks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_steps`` made, and the row of each."""
+    data, at = flat_binary(column)
+    data, at = data[at[0] : at[-1]], at - at[0]
+    last = np.flatnonzero(data < 128)
+    if not len(last):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.r_[0, last[:-1] + 1]
+    place = np.arange(len(data)) - np.repeat(first, last - first + 1)
+    sums = np.cumsum(np.add.reduceat((data & 127).astype(np.int64) << (7 * place), first))
+    until = np.searchsorted(last, at)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(until))
+    return sums - np.r_[0, sums][until[:-1]][row], row
+
+
+def _brought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each row of a node brings, once a key: its bitmap at half the bits, which tells nearly as much, and its ranks as steps."""
+    for batch in batches:
+        bits = [folded(np.frombuffer(x, np.uint8)).tobytes() if len(x) > 8 else x for x in batch.column(1).to_pylist()]
+        ends = batch.column(2).offsets.to_numpy()
+        ranks = batch.column(2).values.to_numpy(zero_copy_only=False)
+        lists = [np.sort(ranks[lo:hi]) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.record_batch({"node": batch.column(0), "bits": pa.array(bits, pa.binary()), "mine": _steps(lists)})
+
+
 def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
     at = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(column.buffers()[2], np.uint8), at
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at
 
 
 def _within(percent: int):
     """Pairs of a key's documents in different components, from rows sorted by (key, one, two, n)."""
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        c = {name: rows.column(name).to_numpy(zero_copy_only=False) for name in ("key", "one", "two", "block", "component", "node", "place", "leads")}
+        c = {name: rows.column(name).to_numpy(zero_copy_only=False) for name in ("key", "one", "two", "block", "component", "node", "place", "leads", "rank")}
         n = rows.column("n").to_numpy().astype(np.int64)
-        maps, before = _Bitmaps(rows.column("bits")), _Before(rows.column("mine"), c["key"].view(np.uint64), c["place"] < 0)
+        maps, before = _Bitmaps(rows.column("bits")), _Before(rows.column("mine"), c["rank"])
         new = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["one"][1:] != c["one"][:-1]) | (c["two"][1:] != c["two"][:-1])]
         heads = np.flatnonzero(new)
         end = np.r_[heads[1:], len(n)][np.cumsum(new) - 1]
@@ -390,8 +427,11 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     made = stored(texts.mapInArrow(_prepared(n, percent, often), f"doc_id {kind}, text_key long, n long, same binary, singles array<long>, pairs array<long>, bits binary").withColumn("row", F.monotonically_increasing_id()), "prefixes")
     rows = stored(made.select("doc_id", "text_key", "n", "same"), "rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row")).alias("m")
-    reps = stored(made.where("n > 0").groupBy("same").agg(least).select("same", F.col("m.row").alias("node"), F.col("m.doc_id").alias("rep"), "m.text_key"), "reps")
-    single = stored(made.where("length(bits) > 0").join(reps.select("node"), F.col("row") == F.col("node")).select("node", "n", "singles", "pairs", "bits"), "sets")
+    reps = stored(made.where("n > 0").groupBy("same").agg(least, F.count(F.lit(1)).alias("rows")).select("same", F.col("m.row").alias("node"), F.col("m.doc_id").alias("rep"), "m.text_key", "rows"), "reps")
+    # Copies are fewer than sets, and their keys and bitmaps stay where they are.
+    twice = made.where("length(bits) > 0").select("same", "row").join(reps.where("rows > 1").select("same", "node"), "same")
+    copies = keys(twice.where("row <> node").select("row"), "copies")
+    single = stored(made.where("length(bits) > 0").join(copies, "row", "left_anti").select(F.col("row").alias("node"), "n", "singles", "pairs", "bits"), "sets")
     release(made, counted)
 
     several = single.select(F.explode(F.concat("singles", "pairs")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -416,19 +456,22 @@ def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
         if 50 * fresh <= total:
             break
 
-    still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"), F.bool_or("leads").alias("led")).where("low <> high AND led AND rows > 2").select("key", "rows")
+    still = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"), F.bool_or("leads").alias("led"), F.min("place").alias("place")).where("low <> high AND led AND rows > 2")
+    # Tokens are in order of their hashes as unsigned numbers.
+    order = still.select("key", "rows", (F.col("place") < 0).alias("pair")).orderBy("pair", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    still = stored(order.select("key", "rows", F.monotonically_increasing_id().alias("rank")), "still")
     before = stored(placed.join(still, "key"), "open")
-    mine = before.groupBy("node").agg(F.collect_list(F.struct("key", (F.col("place") < 0).alias("pair"))).alias("mine"))
-    mine = mine.select("node", F.when(F.size("mine") <= MOST_LISTED, F.col("mine")).otherwise(F.array().cast("array<struct<key:bigint,pair:boolean>>")).alias("mine"))
-    about = maps.select("node", "bits").join(mine, "node")
+    mine = before.groupBy("node").agg(F.collect_list("rank").alias("mine"))
+    mine = mine.select("node", F.when(F.size("mine") <= MOST_LISTED, F.col("mine")).otherwise(F.array().cast("array<bigint>")).alias("mine"))
+    about = maps.select("node", "bits").join(mine, "node").mapInArrow(_brought, "node long, bits binary, mine binary")
     between = before.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     between = between.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    between = between.select("key", "node", "n", "place", "leads", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(about, "node")
+    between = between.select("key", "node", "n", "place", "leads", "component", "rank", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).join(about, "node")
     between = between.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n").mapInArrow(_within(percent), "a long, b long")
     links = links.union(_verified(texts, reps, between.distinct(), n, percent))
 
     groups = components(links)
-    release(index, single, before, several)
+    release(index, single, still, before, several)
     lowest = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_key")).alias("m")
     low = groups.join(reps, "node").groupBy("component").agg(lowest).select("component", F.col("m.rep").alias("low"), F.col("m.text_key").alias("low_key"))
     linked = groups.join(low, "component").select("node", "low", "low_key", F.lit(True).alias("linked"))

@@ -565,6 +565,24 @@ def test_bitmaps_bound_overlaps():
         assert similarity.most_shared(similarity.bitmap(a), len(a), similarity.bitmap(b), len(b)) >= len(np.intersect1d(a, b))
 
 
+def test_what_a_row_brings_to_each_key_is_small():
+    r = np.random.default_rng(8)
+    lists = [np.sort(r.choice(100_000, n, replace=False)) + np.int64(k << 33) for k, n in enumerate([80, 0, 1, 300])] + [np.array([0, 1, 127, 128, 1 << 45])]
+    tokens = [np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (20, 40, 400, 600, 3000)]
+    bits = [similarity.bitmap(x).tobytes() for x in tokens]
+    rows = pa.record_batch({"node": pa.array(range(5)), "bits": pa.array(bits), "mine": pa.array([r.permutation(x) for x in lists], pa.list_(pa.int64()))})
+    for lo, n in ((0, 5), (2, 3), (1, 1)):
+        (out,) = similarity._brought([rows.slice(lo, n)])
+        ranks, row = similarity._ranks(out.column("mine"))
+        assert all((ranks[row == i] == lists[lo + i]).all() and (row == i).sum() == len(lists[lo + i]) for i in range(n))
+    (out,) = similarity._brought([rows])
+    assert sum(len(x) for x in out.column("mine").to_pylist()) < 3 * sum(map(len, lists))
+    assert [len(x) for x in out.column("bits").to_pylist()] == [max(8, len(x) // 2) for x in bits]
+    near = np.sort(np.r_[tokens[3][:560], r.integers(0, 2**63, 40).astype(np.uint64) * np.uint64(2)])
+    a, b = (similarity.folded(similarity.bitmap(x)) for x in (tokens[3], near))
+    assert similarity.most_shared(a, len(tokens[3]), b, len(near)) >= 560
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200, 700)] + [(3, 9), (9, 9), (9, 3)], "a long, b long").repartition(5)
     found = {r["node"]: r["component"] for r in components.components(links).collect()}
